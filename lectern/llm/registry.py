@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules, simhash, suffix_dedup
+from . import decontaminate, language_id, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,8 +10,12 @@ QUERIES = {
         quality_rules.op1_mcd_quality,
         decontaminate.op3_pigeonhole_decontaminate,
         suffix_dedup.op4_suffix_dedup,
+        language_id.op5_marginal_language_id,
         simhash.op6_simhash_pivots,
+        quality_classifier.op7_attention_quality,
         mixing.op8_poisson_mix,
+        token_counts.op9_token_attribution,
+        toxicity.op10_blockmax_toxicity,
     )
 }
 ORACLES = {"op8_poisson_mix": mixing.ORACLE}
