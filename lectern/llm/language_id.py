@@ -36,6 +36,8 @@ VOCABULARY, ROUNDS, LONG, SMOOTH = "piece_bpe_32k.model", 3, 32, 0.1
 OUTSIDE = -14.0
 #: Distinct words that a task keeps scored.
 KEPT = 400_000
+#: Documents whose words are held at once.
+ROWS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -89,7 +91,7 @@ class Pieces:
         """For the words of each length: their indexes, the length and [(start, end, rows, piece ids)]; id -1 is a lone unknown character."""
         sizes = np.array([len(w) for w in words])
         for n in np.unique(sizes):
-            for rows in np.array_split(which := np.flatnonzero(sizes == n), max(1, len(which) * int(n) // 400_000)):
+            for rows in np.array_split(which := np.flatnonzero(sizes == n), max(1, len(which) * int(n) // 150_000)):
                 codes = np.frombuffer("".join([words[k] for k in rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), n)
                 scrambled = _scramble(codes)
                 prefix = np.zeros((n + 1, len(rows)), np.uint64)
@@ -193,7 +195,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, vocabulary: str
         langs, logp = sent.value
         known: dict[str, int] = {}
         scores = np.zeros((0, len(langs)))
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             found = [words_of(t.as_py()) if langs else [] for t in b.column("text")]
             if len(known) > KEPT:
                 known, scores = {}, np.zeros((0, len(langs)))
