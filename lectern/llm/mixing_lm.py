@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, crc_mod, materialize, shuffle_partitions, table
 
 BITS, PREFIX, EXACT, BLOCK = 20, 4, 64, 3_000_000
+#: Slots that are handed to the driver in one piece.
+CHUNK = 4096
 SHARES = (0.0, 0.02, 0.08, 0.2, 0.45)
 GATES, INPUTS, STEP, RATE = 48, 6, 8192, 0.05
 _START = np.array([0.05, 0.05, 0.1, 0.2, 0.6, 0.0])
@@ -315,11 +317,22 @@ def score(docs: DataFrame) -> DataFrame:
                 slot = np.flatnonzero(got.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(got[slot, 0].astype(np.int64)), pa.array(got[slot, 1].astype(np.int64))], names=["slot", "n0", "n1"])
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot, n0, n1 = (b.column(k).to_numpy() for k in range(3))
+            for chunk in np.unique(slot // CHUNK):
+                at = slot // CHUNK == chunk
+                own = chunks.setdefault(int(chunk), np.zeros((CHUNK, 2), np.int64))
+                np.add.at(own[:, 0], slot[at] % CHUNK, n0[at])
+                np.add.at(own[:, 1], slot[at] % CHUNK, n1[at])
+        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in chunks.values()], pa.binary())], names=["chunk", "counts"])
+
     core = shards.select("n_words", "words", "counts")
-    slots = core.mapInArrow(gather, "slot int, n0 bigint, n1 bigint").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toPandas()
+    cells = core.mapInArrow(gather, "slot int, n0 bigint, n1 bigint").repartition(n, (F.col("slot") / CHUNK).cast("int"))
     tables = np.zeros((4 << BITS, 2), np.float32)
-    tables[slots["slot"]] = slots[["n0", "n1"]]
-    del slots
+    for r in cells.mapInArrow(add_up, "chunk int, counts binary").toLocalIterator():
+        tables[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.float32).reshape(CHUNK, 2)
     tables = spark.sparkContext.broadcast(tables.reshape(4, 1 << BITS, 2))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
