@@ -116,7 +116,7 @@ def siblings(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     rows: id, shelfmark "institution, shelfmark"; ledger: id, institution, shelfmark. Lists are matched by their first item, so the join has a key."""
     theirs = ledger.where("institution is not null and shelfmark is not null").select(F.col("id").alias("sibling"), "institution", F.col("shelfmark").alias("theirs"))
     inst = theirs.select("institution").distinct()
-    heads = rows.select("id", F.col("shelfmark").alias("full"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("shelfmark", ", ")) - 1, F.lit(1))), lambda k: F.substring_index("shelfmark", ", ", k))).alias("institution")).join(inst, "institution", "left_semi")
+    heads = rows.select("id", F.col("shelfmark").alias("full"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("shelfmark", ", ")) - 1, F.lit(1))), lambda k: F.array_join(F.slice(F.split("shelfmark", ", "), F.lit(1), k), ", "))).alias("institution")).join(inst, "institution", "left_semi")
     ours = heads.select("id", "institution", F.expr("substring(full, length(institution) + 3)").alias("ours"))
     key = lambda df, c: df.withColumn("item", F.explode(F.array_distinct(F.split(c, ", "))))
     both = key(ours, "ours").join(key(theirs, "theirs"), ["institution", "item"])
