@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def otsu(gray: np.ndarray, bins: int = 64) -> float:
     """The threshold that parts dark from light best."""
@@ -85,8 +87,8 @@ def strips(images: DataFrame, height: int, overlap: int = 0) -> DataFrame:
 
 def sheet(images: DataFrame, columns: int = 4, rows: int = 5) -> DataFrame:
     """(image, page, row, column): places on contact sheets in order of ``ord``."""
-    k = F.row_number().over(Window.orderBy("ord")) - 1
-    return images.select("image", k.alias("k")).select("image", F.floor(F.col("k") / (columns * rows)).alias("page"), F.floor(F.col("k") / columns).cast("int").alias("line"), (F.col("k") % columns).alias("column")).withColumn("row", F.col("line") % rows).drop("line")
+    k = numbered(images.select("image", "ord"), "ord", "k")
+    return k.select("image", (F.col("k") - 1).alias("k")).select("image", F.floor(F.col("k") / (columns * rows)).alias("page"), F.floor(F.col("k") / columns).cast("int").alias("line"), (F.col("k") % columns).alias("column")).withColumn("row", F.col("line") % rows).drop("line")
 
 
 def repeated_images(canvases: DataFrame, known: DataFrame) -> DataFrame:

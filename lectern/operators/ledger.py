@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records
+from .order import numbered
 
 # Which confidence a status may have, kinds of identified texts, paths that must not be published
 STATUS = {"identified": ("high",), "partial": ("medium", "low"), "unidentified": ("none",)}
@@ -21,8 +22,8 @@ def append(ledger: DataFrame, new: DataFrame) -> DataFrame:
     """The ledger and the rows not in it yet, in the order of their ids, numbered on from the highest ``order``."""
     fresh = unlisted(new, ledger, "id").dropDuplicates(["id"])
     top = ledger.agg(F.coalesce(F.max("order"), F.lit(0)).alias("top"))
-    numbered = fresh.drop("order").withColumn("k", F.row_number().over(Window.orderBy("id"))).join(F.broadcast(top)).withColumn("order", (F.col("top") + F.col("k")).cast("bigint")).drop("k", "top")
-    return ledger.unionByName(numbered, allowMissingColumns=True)
+    fresh = numbered(fresh.drop("order"), "id", "k").join(F.broadcast(top)).withColumn("order", (F.col("top") + F.col("k")).cast("bigint")).drop("k", "top")
+    return ledger.unionByName(fresh, allowMissingColumns=True)
 
 
 def violations(rows: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def worklist(sources: list[DataFrame], key: str) -> DataFrame:
         df = df.withColumn("source_rank", F.lit(k))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     best = Window.partitionBy(key).orderBy("source_rank")
-    return out.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    return out.withColumn("__k", F.row_number().over(best)).where("__k = 1").drop("__k")
 
 
 def status_counts(states: DataFrame, labels: list[str]) -> DataFrame:
