@@ -56,12 +56,14 @@ def replicate(docs: DataFrame, targets: dict[str, float] | None = None, budget:
     docs = docs.drop("replica", "shuffle_key")
     rate = rates(docs, targets, budget, alpha)
     whole = F.floor(F.greatest("__rate", F.lit(MOST_RATE)) - MOST_RATE)  # rates over MOST_RATE: that much for certain, the rest by chance
-    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__doc.doc_id").cast("string"), F.lit("")))
     copies = _poisson(F.col("__rate") - whole, uniform(ident)) + whole
-    counted = docs.join(rate, docs["source"].eqNullSafe(rate["__source"])).withColumn("__n", copies.cast("int")).where("__n > 0")
-    out = counted.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "__rate", "__source")
+    # one row whose fields are the document, so no column of it can clash with ours
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
+    counted = own.join(rate, F.col("__doc.source").eqNullSafe(rate["__source"])).withColumn("__n", copies.cast("int")).where("__n > 0")
+    out = counted.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("replica"))
     key = F.md5(F.concat_ws(":", ident, F.col("replica").cast("string")).cast("binary"))
-    return out.withColumn("shuffle_key", key).repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    return out.select("__doc.*", "replica", key.alias("shuffle_key")).repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
