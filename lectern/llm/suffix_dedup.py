@@ -5,9 +5,10 @@ else, in another document or in the same one. Matches never cross documents.
 
 Tokens. A suffix is compared by tokens instead of single bytes. Each string of LENGTH bytes picks an anchor:
 the least of the 8-byte hashes that start at its bytes LEFT to LEFT+MIDDLE-1 (the first of equals). Equal
-strings pick the same place, so their leading token, the fingerprint of the LEFT+RIGHT bytes around the
-anchor, is equal too. Consecutive strings with one anchor form a run, and a run's second token is the
-fingerprint of all its bytes.
+strings pick the same place. Consecutive strings with one anchor, and with it in the same half, form a run. What
+all strings of such a run share around the anchor (LEFT bytes before it and half of LENGTH after it, or half before and RIGHT
+after) is fingerprinted as the leading token, so equal strings have equal leading tokens too; the run's second token is
+the fingerprint of all its bytes.
 
 Round 1 orders all runs by (token, second token, document, position): splitters that Spark samples from all
 of these leading tokens range-partition them, so even one token that a third of all runs hold is dealt over
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ from .common import materialize, shuffle_partitions, table
 LENGTH, LEFT, MIDDLE = 200, 17, 150
 RIGHT = LENGTH - (LEFT + MIDDLE - 1)
 #: Window starts that are handled at once: bounds the arrays whatever a document's length.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _SPAN = SLICE + 2 * LENGTH + 16
 _rng = np.random.default_rng(20240229)
@@ -98,14 +100,17 @@ def slice_runs(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = (low[LEFT : LEFT + n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cut = np.empty(n, bool)
     cut[0] = True
-    cut[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1])
+    late = anchor - np.arange(n) >= LENGTH // 2
+    cut[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1]) | (late[1:] != late[:-1])
     first = np.flatnonzero(cut)
     last = np.append(first[1:], n) - 1
     keep = valid[first]
     first, last = first[keep], last[keep]
     at, prints = anchor[first], Prints(data)
     bounds = mix(((at - first).astype(np.uint64) << np.uint64(32)) | (at - last).astype(np.uint64))
-    return prints.of(at - LEFT, at + RIGHT), prints.of(first, last + LENGTH) ^ bounds, first, last
+    late = late[first]
+    lead = prints.of(np.where(late, at - LENGTH // 2, at - LEFT), np.where(late, at + RIGHT, at + LENGTH - LENGTH // 2 + 1))
+    return lead ^ late.astype(np.uint64), prints.of(first, last + LENGTH) ^ bounds, first, last
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +127,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = _texts(b.column("text"))
         ids = b.column("dk").to_numpy(zero_copy_only=False)
         total = int(offsets[-1])
-        steps = np.zeros(total + 1, np.int32)
-        np.add.at(steps, offsets[:-1], 1)
-        np.add.at(steps, np.maximum(offsets[:-1], offsets[1:] - LENGTH + 1), -1)
-        valid = np.cumsum(steps[:-1]) > 0
         for s in range(0, total, SLICE):
             e = min(total, s + SLICE)
-            if not valid[s:e].any():
+            own = slice(int(np.searchsorted(offsets, s, "right")) - 1, int(np.searchsorted(offsets, e, "left")))
+            first = offsets[:-1][own]
+            steps = np.zeros(e - s + 1, np.int32)
+            np.add.at(steps, np.clip(first - s, 0, e - s), 1)
+            np.add.at(steps, np.clip(np.maximum(first, offsets[1:][own] - LENGTH + 1) - s, 0, e - s), -1)
+            valid = np.cumsum(steps[:-1]) > 0
+            if not valid.any():
                 continue
-            key, full, first, last = slice_runs(data[s : min(total, e + LENGTH + 8)], valid[s:e])
+            key, full, first, last = slice_runs(data[s : min(total, e + LENGTH + 8)], valid)
             doc = np.searchsorted(offsets, first + s, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), pa.array(ids[doc]), pa.array((first + s - offsets[doc]).astype(np.int32)), pa.array((last + s - offsets[doc]).astype(np.int32))],
@@ -166,6 +173,25 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 RESOLVED, OPEN = 1, 2
 
 
+def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column text as zstd frames, in which it is shuffled; null stays null."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        at = b.schema.get_field_index("text")
+        data = pa.array([None if (x := t.as_py()) is None else press(x.encode()) for t in b.column(at)], pa.binary())
+        yield pa.RecordBatch.from_arrays([data if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+
+
+def _bytes(cell: pa.Scalar, open_) -> bytes | None:
+    data = cell.as_py()
+    return None if data is None else open_(data)
+
+
+def pressed(docs: DataFrame) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_press, schema)
+
+
 def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = _whole(batches)
     if t is None:
@@ -191,21 +217,24 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor().decompress
     for b in batches:
         out: list[list] = [[], [], [], []]
         size = 0
-        for dk, text, los, his in zip(b.column("dk").to_pylist(), b.column("text"), b.column("los").to_pylist(), b.column("his").to_pylist(), strict=True):
-            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+        for dk, text, los, his, states in zip(b.column("dk").to_pylist(), b.column("text"), *(b.column(c).to_pylist() for c in ("los", "his", "states")), strict=True):
+            data = np.frombuffer(_bytes(text, open_) or b"", np.uint8)
             for s in range(0, len(data), SLICE):
-                spots = [np.arange(max(lo, s), min(hi + 1, s + SLICE)) for lo, hi in set(zip(los, his, strict=True)) if lo < s + SLICE and hi >= s]
+                spots = [np.arange(max(lo, s), min(hi + 1, s + SLICE)) * 2 + (state != OPEN) for lo, hi, state in set(zip(los, his, states, strict=True)) if lo < s + SLICE and hi >= s]
                 p = np.unique(np.concatenate(spots)) if spots else np.zeros(0, np.int64)
-                p = p[p + LENGTH <= len(data)]
+                p, known = p >> 1, p & 1
+                fits = p + LENGTH <= len(data)
+                p, known = p[fits], known[fits]
                 if not len(p):
                     continue
                 a, z = int(p[0]), int(p[-1]) + LENGTH
                 part = data[a:z]
                 out[0].append(Prints(part).of(p - a, p - a + LENGTH).view(np.int64))
-                out[1].append((Prints(part, 1).of(p - a, p - a + LENGTH) >> np.uint64(33)).astype(np.int32))
+                out[1].append((Prints(part, 1).of(p - a, p - a + LENGTH) >> np.uint64(34)).astype(np.int32) * 2 + known.astype(np.int32))
                 out[2].append(np.full(len(p), dk, np.int64))
                 out[3].append(p.astype(np.int32))
                 size += len(p)
@@ -221,11 +250,12 @@ def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     if t is None:
         return
     h, g, dk, p = (t.column(n).to_numpy() for n in ("h", "g", "dk", "p"))
-    order = multikey_quicksort([h, g, dk, p])
+    order = multikey_quicksort([h, g >> 1, dk, p])
     h, g, dk, p = h[order], g[order], dk[order], p[order]
+    known, g = g & 1, g >> 1  # the last bit only tells that the string's run is known to repeat
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-    found = same[1:] | same[:-1]
+    found = (same[1:] | same[:-1]) & (known == 0)
     edge = np.zeros(len(h), np.int32)
     edge[[0, -1]] = TaskContext.get().partitionId() + 1
     keep = found | (edge > 0)
@@ -262,18 +292,18 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     runs = docs.mapInArrow(_runs, "key bigint, full bigint, dk bigint, lo int, hi int")
     first = materialize(runs.repartitionByRange(n, "key", "full", "dk", "lo").mapInArrow(_compare_runs, "dk bigint, lo int, hi int, state int"), "op4-runs")
-    still = first.where(F.col("state") >= OPEN).groupBy("dk").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    windows = docs.join(still, "dk").mapInArrow(_windows, "h bigint, g int, dk bigint, p int")
-    second = materialize(windows.repartitionByRange(n, "h", "g", "dk", "p").mapInArrow(_compare_windows, "dk bigint, p int, found boolean, edge int, h bigint, g int"), "op4-windows")
+    still = first.where(F.col("state") >= OPEN).groupBy("dk").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"), F.collect_list("state").alias("states"))
+    windows = pressed(docs).join(still, "dk").mapInArrow(_windows, "h bigint, g int, dk bigint, p int")
+    second = materialize(windows.repartitionByRange(n, "h", (F.col("g") / 2).cast("int"), "dk", "p").mapInArrow(_compare_windows, "dk bigint, p int, found boolean, edge int, h bigint, g int"), "op4-windows")
     across = spark.createDataFrame(_across(second), "dk bigint, lo int")
     starts = first.where(F.col("state") != OPEN).select("dk", "lo", "hi").union(second.where("found").select("dk", "p", "p")).union(across.select("dk", "lo", "lo"))
     return starts.groupBy("dk").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` and the columns los, his (null: nothing to remove)."""
+    """``docs``, the text as zstd frames, and the columns los, his (null: nothing to remove)."""
     docs = keyed(docs)
-    return docs.join(repeated_starts(docs.select("dk", "text")), "dk", "left")
+    return pressed(docs).join(repeated_starts(docs.select("dk", "text")), "dk", "left")
 
 
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -282,10 +312,11 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor().decompress
     for b in batches:
         rows = []
         for doc, text, los, his in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            data, spans = (text.as_py() or "").encode(), _merge(los or [], his or [])
+            data, spans = _bytes(text, open_) or b"", _merge(los or [], his or [])
             rows.append((doc, len(data), sum(y - x for x, y in spans), len(spans), hashlib.sha256(_cut(data, spans)).hexdigest()))
         cols = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -297,11 +328,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        texts = [None if (x := t.as_py()) is None else _cut(x.encode(), _merge(lo, hi)).decode("utf-8", "ignore") if lo else x for t, lo, hi in zip(b.column("text"), b.column("los").to_pylist(), b.column("his").to_pylist(), strict=True)]
+        texts = [None if (x := _bytes(t, open_)) is None else _cut(x, _merge(lo or [], hi or [])).decode("utf-8", "ignore") for t, lo, hi in zip(b.column("text"), b.column("los").to_pylist(), b.column("his").to_pylist(), strict=True)]
         at = b.schema.get_field_index("text")
         keep = [i for i, n in enumerate(b.schema.names) if n not in ("los", "his")]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(i).type) if i == at else b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
