@@ -2,12 +2,12 @@
 
 Terms are runs of letters, lower case. The vocabulary is the ``TERMS`` terms with the highest log-likelihood
 ratio against the label and at least 2 ln(distinct terms) + ``MARGIN_G2`` (so the best of that many chance terms falls
-short), counted over all labelled training documents, as are the document frequencies. A document's vector is (1 + ln tf) * idf over the vocabulary, of length 1.
+short) and at least ``LIFT`` times as frequent under one label as under the other, counted over all labelled training documents, as are the document frequencies. A document's vector is (1 + ln tf) * idf over the vocabulary, of length 1.
 
 Examples are a bounded sample of labelled training documents (``SAMPLE`` of each label with a vector, first by hash of the
 id; a parameter). Their postings lie in blocks of ``BLOCK`` examples; for each term and block the largest weight is
-kept. A query takes the blocks by falling upper bound (the sum of its weights times these maxima), scores a block's
-postings exactly, and stops once no bound left exceeds the K-th best cosine: nothing else can enter, so the K nearest are
+kept. A query takes the ``FIRST`` blocks by upper bound (the sum of its weights times these maxima), scores their
+postings exactly, and then all blocks whose bound reaches the K-th best cosine: nothing else can enter, so the K nearest are
 exact. Ties go to the smaller example number.
 
 The vote is the sum of cosine**POWER over toxic neighbours against all, shrunk to the share of toxic documents by ``PRIOR``; a Platt
@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialize, table
 
 TERMS, MARGIN_G2, SAMPLE, BLOCK, K, POWER, PRIOR, THRESHOLD = 4096, 12.0, 4096, 64, 15, 2.0, 0.3, 0.7
+LIFT, FIRST = 4.0, 8
+#: Documents whose terms are counted at once, and scored vectors that a task keeps.
+ROWS, KEPT = 1024, 5_000
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -63,34 +66,41 @@ class BlockMaxIndex:
         self.n, self.block = len(vectors), block
         blocks = -(-self.n // block)
         self.most = np.zeros((n_terms, blocks))
-        self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(blocks)]
+        own: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n_terms)]
         for i, (ks, xs) in enumerate(vectors):
             for k, x in zip(ks, xs, strict=True):
-                at = self.postings[i // block].setdefault(k, ([], []))
-                at[0].append(i % block)
-                at[1].append(x)
+                own[k][0].append(i)
+                own[k][1].append(x)
                 self.most[k, i // block] = max(self.most[k, i // block], x)
-        self.postings = [{k: (np.array(a), np.array(x)) for k, (a, x) in p.items()} for p in self.postings]
+        self.postings = [(np.array(a, np.int64), np.array(x, float)) for a, x in own]
 
     def nearest(self, ks: tuple[int, ...], xs: tuple[float, ...], k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with cosine over 0."""
-        bound = np.asarray(xs) @ self.most[list(ks)] if ks else np.zeros(len(self.postings))
-        ids, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(ids) == k and bound[b] < least - 1e-12:
+        """Numbers and cosines of the k nearest examples with cosine over 0: the most promising blocks set the mark, then all blocks whose bound reaches it are scored."""
+        if not ks:
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound = np.asarray(xs) @ self.most[list(ks)]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at = np.concatenate([self.postings[t][0] for t in ks])
+        value = np.concatenate([x * self.postings[t][1] for t, x in zip(ks, xs, strict=True)])
+        ids, sims, least, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
+        while done < len(order):
+            step = order[done : done + FIRST] if not done else order[done:]
+            done += len(step)
+            step = step[bound[step] >= least - 1e-12]
+            if not len(step):
                 break
-            scores = np.zeros(self.block)
-            for t, x in zip(ks, xs, strict=True):
-                if t in self.postings[b]:
-                    at, w = self.postings[b][t]
-                    scores[at] += x * w
-            if 0 <= without - b * self.block < self.block:
-                scores[without - b * self.block] = 0
+            on = np.zeros(len(bound), bool)
+            on[step] = True
+            on = on[at // self.block]
+            scores = np.bincount(at[on], value[on], self.n)
+            if without >= 0:
+                scores[without] = 0
             hit = np.flatnonzero(scores > 0)
-            ids, sims = np.concatenate([ids, hit + b * self.block]), np.concatenate([sims, scores[hit]])
+            ids, sims = np.concatenate([ids, hit]), np.concatenate([sims, scores[hit]])
             top = np.lexsort((ids, -np.round(sims, 12)))[:k]
             ids, sims = ids[top], sims[top]
-            least = sims[-1] if len(sims) else 0.0
+            least = sims[-1] if len(sims) == k else 0.0
         return ids, sims
 
 
@@ -132,7 +142,7 @@ class Voter:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         all_, bad = Counter(), Counter()
         for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             own = set(terms_of(t.as_py()))
@@ -153,14 +163,15 @@ def choose_terms(labelled: DataFrame, n: int, bad: int) -> dict[str, tuple[int,
     a, c = F.col("bad").cast("double"), (F.col("n") - F.col("bad")).cast("double")
     b, d, share = F.lit(float(bad)) - a, F.lit(float(n - bad)) - c, F.col("n") / n
     g2 = 2 * (cell(a, share * bad) + cell(b, (1 - share) * bad) + cell(c, share * (n - bad)) + cell(d, (1 - share) * (n - bad)))
-    rows = counts.withColumn("g2", g2).where(F.col("g2") >= least).orderBy(F.desc("g2"), "term").limit(TERMS).collect()
+    lift = ((a + 0.5) / (bad + 1)) / ((c + 0.5) / (n - bad + 1))
+    rows = counts.withColumn("g2", g2).where((F.col("g2") >= least) & ((lift >= LIFT) | (lift <= 1 / LIFT))).orderBy(F.desc("g2"), "term").limit(TERMS).collect()
     return {r.term: (k, math.log((1 + n) / (1 + r.n)) + 1) for k, r in enumerate(rows)}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict, Voter]:
     """Vocabulary and voter from ``docs`` (doc_id, text) and ``labels`` (doc_id, y)."""
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
-    labelled = docs.where("doc_id is not null").join(known, "doc_id")
+    labelled = docs.where("doc_id is not null").join(known.hint("merge"), "doc_id")  # labels have no bound: never broadcast
     n, bad = (int(x or 0) for x in labelled.agg(F.count("*"), F.sum("y")).first())
     vocabulary = choose_terms(labelled, n, bad)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -191,7 +202,7 @@ def score_documents(docs: DataFrame, vocabulary: dict, voter: Voter) -> DataFram
             for t in b.column("text"):
                 v = vectors.of(t.as_py())
                 if v not in seen:
-                    if len(seen) > 100_000:
+                    if len(seen) > KEPT:
                         seen.clear()
                     seen[v] = voter.score(*v)
                 out.append(seen[v])
