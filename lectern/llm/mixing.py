@@ -6,7 +6,8 @@ a uniform number hashed from the seed and the id, so any row can be recomputed a
 by a hash of seed, id and copy, which is also the order inside the partitions: a global shuffle.
 
 Target shares default to the temperature rule share ~ documents ** ``ALPHA`` and the budget to the number of
-documents; both are parameters. Only one count for each source is gathered; sources are joined by size.
+documents; both are parameters. The rates, a row for each source, are written to shared storage and joined by their measured
+size: broadcast while they are under Spark's threshold, sorted beyond it.
 
 Defined results: a null source is a source of its own. A null id hashes as an empty id. Rows that repeat an id
 get the same count each. A source with target 0 (or none named in ``targets``) has no copies. An empty table
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import materialize, shuffle_partitions, table
 
 ALPHA, SEED = 0.5, 42
 #: Copies beyond which the distribution isn't inverted: at rates to ``MOST_RATE`` the rest has under 1e-17.
@@ -54,7 +55,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, budget: floa
 
 def replicate(docs: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     docs = docs.drop("replica", "shuffle_key")
-    rate = rates(docs, targets, budget, alpha)
+    rate = materialize(rates(docs, targets, budget, alpha), "op8-rates")  # written, so the join is picked by its measured size and texts stay where they are
     whole = F.floor(F.greatest("__rate", F.lit(MOST_RATE)) - MOST_RATE)  # rates over MOST_RATE: that much for certain, the rest by chance
     ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__doc.doc_id").cast("string"), F.lit("")))
     copies = _poisson(F.col("__rate") - whole, uniform(ident)) + whole
