@@ -19,4 +19,4 @@ QUERIES = {
         toxicity.op10_blockmax_toxicity,
     )
 }
-ORACLES = {"op8_poisson_mix": mixing.ORACLE}
+ORACLES = {"op4_suffix_dedup": suffix_dedup.ORACLE, "op8_poisson_mix": mixing.ORACLE}

@@ -348,3 +348,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicate(docs)
+
+
+#: The contract in SQL: strings are compared as such and counted over all starts.
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d),
+n AS (SELECT r, p, count(*) OVER (PARTITION BY array_slice(b, p, p + 199)) AS n FROM p),
+g AS (SELECT r, p, p > lag(p, 1, -200) OVER (PARTITION BY r ORDER BY p) + 200 AS new FROM n WHERE n > 1),
+k AS (SELECT r, p, count_if(new) OVER (PARTITION BY r ORDER BY p) AS k FROM g),
+s AS (SELECT r, min(p) AS a, max(p) + 200 AS z, 1 AS one FROM k GROUP BY r, k
+      UNION ALL SELECT r, octet_length(b) + 1, octet_length(b) + 1, 0 FROM d),
+c AS (SELECT r, a, z, one, lag(z, 1, 1) OVER (PARTITION BY r ORDER BY a, z) AS f FROM s)
+SELECT any_value(doc_id) AS doc_id, any_value(octet_length(b))::BIGINT AS n_bytes, sum(z - a)::BIGINT AS n_removed, sum(one)::BIGINT AS n_spans,
+       sha256(unhex(string_agg(CASE WHEN a > f THEN hex(array_slice(b, f, a - 1)) ELSE '' END, '' ORDER BY a, z))) AS kept_sha256
+FROM c JOIN d USING (r) GROUP BY r
+"""

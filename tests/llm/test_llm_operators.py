@@ -268,6 +268,19 @@ def brute_cut(texts):
     return out
 
 
+def test_suffix_query_against_its_sql(spark, tables):
+    docs = spark.read.parquet(f"{tables['messy']}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(20, prose(1, 120)[100:500] + "é" * 150, None, None, 0), (21, "é" * 150 + "tail", None, None, 0), (22, "q" * 199, None, None, 0), (23, "q" * 199, None, None, 0)], SCHEMA), allowMissingColumns=True)
+    path = f"{tables['messy']}-sql"
+    docs.write.parquet(f"{path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES["op4_suffix_dedup"](spark, path)
+    want = c.sql(f"select {', '.join(got.columns)} from ({registry.ORACLES['op4_suffix_dedup']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert sum(r[2] for r in want) > 5000
+
+
 def test_cut_against_brute_force(spark, monkeypatch):
     r = random.Random(8)
     parts = ["".join(r.choice("abcdé ") for _ in range(r.randint(150, 420))) for _ in range(12)]
