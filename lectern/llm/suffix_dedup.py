@@ -353,8 +353,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: The contract in SQL: strings are compared as such and counted over all starts.
 ORACLE = """
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
-p AS (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d),
-n AS (SELECT r, p, count(*) OVER (PARTITION BY array_slice(b, p, p + 199)) AS n FROM p),
+q AS (SELECT r, o, array_slice(b, o + 1, o + 1223) AS c FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199, 1024)) AS o FROM d)),
+p AS (SELECT r, o, c, unnest(range(1, least(1024, octet_length(c) - 199) + 1)) AS p FROM q),
+n AS (SELECT r, o + p AS p, count(*) OVER (PARTITION BY array_slice(c, p, p + 199)) AS n FROM p),
 g AS (SELECT r, p, p > lag(p, 1, -200) OVER (PARTITION BY r ORDER BY p) + 200 AS new FROM n WHERE n > 1),
 k AS (SELECT r, p, count_if(new) OVER (PARTITION BY r ORDER BY p) AS k FROM g),
 s AS (SELECT r, min(p) AS a, max(p) + 200 AS z, 1 AS one FROM k GROUP BY r, k
