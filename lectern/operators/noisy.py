@@ -139,11 +139,14 @@ def margins(real: DataFrame, null: DataFrame) -> DataFrame:
 
 
 def context(docs: DataFrame, shelfmark: str, find: str | None = None, offset: int = 0, before: int = 200, after: int = 200) -> DataFrame:
-    """Text around an offset, or around every place of ``find``, in all documents of a shelfmark."""
+    """Text around an offset, or around every place of ``find``, in each document of a shelfmark."""
     own = docs.where(F.col("shelfmark") == shelfmark)
     if find is None:
-        return own.select("shelfmark", F.lit(offset).alias("offset"), F.substring("text", F.lit(max(0, offset - before) + 1), F.lit(before + after)).alias("context"))
+        start = max(0, offset - before)
+        return own.select("shelfmark", F.lit(offset).alias("offset"), F.substring("text", F.lit(start + 1), F.lit(max(0, offset + after - start))).alias("context"))
+    size = len(find)
     parts = F.split(F.col("text"), F.regexp_replace(F.lit(find), r"([\\.*+?^$|()\[\]{}-])", r"\\$1"), -1)
-    own = own.select("shelfmark", "text", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("k", "part"), parts.alias("parts"))
-    at = F.aggregate(F.slice("parts", F.lit(1), F.col("k") + 1), F.lit(0), lambda n, p: n + F.length(p) + len(find)) - len(find)
-    return own.select("shelfmark", at.alias("offset")).join(docs.select("shelfmark", "text"), "shelfmark").select("shelfmark", "offset", F.substring("text", F.greatest(F.col("offset") - before, F.lit(0)) + 1, F.lit(before + len(find) + after)).alias("context"))
+    begin = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+    places = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), begin, lambda s, p: F.struct((s["n"] + F.length(p) + size).alias("n"), F.concat(s["at"], F.array(s["n"] + F.length(p))).alias("at")), lambda s: s["at"])
+    around = lambda at, start: F.struct(at.alias("offset"), F.substring(F.col("text"), start + 1, at + size + after - start).alias("context"))
+    return own.select("shelfmark", F.explode(F.transform(places, lambda at: around(at, F.greatest(at - before, F.lit(0))))).alias("c")).select("shelfmark", "c.*")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, records, text
-from ..operators import images, ledger, noisy, retrieval, sequences
+from ..operators import images, ledger, noisy, reporting, retrieval, sequences
+from ..sources import responses
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -606,3 +607,84 @@ def canonical_shelfmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 100).alias("height"))
     return images.strips(p, 1500, 200).select(F.col("image").alias("p_partkey"), *(F.col(c).cast("bigint") for c in ("k", "top", "bottom")))
+
+
+@query(
+    """WITH i AS (SELECT p_partkey, (p_size * 300)::BIGINT AS w, (p_size * 200)::BIGINT AS h FROM part), s AS (SELECT floor(1500 * pow(1.5, k))::BIGINT AS t FROM range(0, 13) x(k)),
+c AS (SELECT *, CASE WHEN w <= t THEN 1 ELSE ceil((w - 200) / (t - 200))::BIGINT END AS nx, CASE WHEN h <= t THEN 1 ELSE ceil((h - 200) / (t - 200))::BIGINT END AS ny FROM i, s),
+f AS (SELECT p_partkey, min(t) AS t FROM c WHERE nx * ny <= 40 GROUP BY 1), b AS (SELECT p_partkey, w, h, t, nx, ny, unnest(range(0, nx)) AS x FROM c JOIN f USING (p_partkey, t)), e AS (SELECT *, unnest(range(0, ny)) AS y FROM b),
+g AS (SELECT p_partkey, CASE WHEN nx = 1 THEN 0 ELSE floor(x * (w - t) / (nx - 1))::BIGINT END AS x0, CASE WHEN ny = 1 THEN 0 ELSE floor(y * (h - t) / (ny - 1))::BIGINT END AS y0,
+      CASE WHEN nx = 1 THEN w ELSE floor(x * (w - t) / (nx - 1))::BIGINT + t END AS x1, CASE WHEN ny = 1 THEN h ELSE floor(y * (h - t) / (ny - 1))::BIGINT + t END AS y1 FROM e)
+SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY y0, x0) - 1 AS k, x0, y0, x1, y1 FROM g"""
+)
+def tile_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 300).alias("width"), (F.col("p_size") * 200).alias("height"))
+    return images.tiles(p).select(F.col("image").alias("p_partkey"), *(F.col(c).cast("bigint").alias(n) for c, n in (("k", "k"), ("left", "x0"), ("top", "y0"), ("right", "x1"), ("bottom", "y1"))))
+
+
+@query("SELECT p_partkey, k // 20 AS page, k // 4 % 5 AS sheet_row, k % 4 AS sheet_column FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part)")
+def contact_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), F.col("p_partkey").alias("ord"))
+    return images.sheet(p).select(F.col("image").alias("p_partkey"), *(F.col(c).cast("bigint").alias(n) for c, n in (("page", "page"), ("row", "sheet_row"), ("column", "sheet_column"))))
+
+
+# Access and stored responses
+
+
+@query(
+    """WITH d AS (SELECT source AS shelfmark, text, string_split(text, 'the') AS w FROM documents WHERE source = 'src0'), p AS (SELECT *, unnest(range(1, len(w))) AS k FROM d),
+o AS (SELECT shelfmark, text, (list_sum(list_transform(w[1:k], lambda x: length(x))) + (k - 1) * 3)::BIGINT AS place FROM p)
+SELECT shelfmark, place, substring(text, greatest(place - 20, 0) + 1, place + 23 - greatest(place - 20, 0)) AS context FROM o"""
+)
+def context_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("shelfmark"), "text")
+    return noisy.context(docs, "src0", "the", before=20, after=20).select("shelfmark", F.col("offset").cast("bigint").alias("place"), "context")
+
+
+@query(f"WITH {PAIRS} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM p)")
+def unmatched_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = items(spark, sf_dir)
+    return found.select("item_id").join(retrieval.containing(documents(spark, sf_dir), found), "item_id", "left_anti")
+
+
+@query(f"WITH {B} SELECT item_id, '\"(?i)' || replace(folded, ' ', '\" \"(?i)') || '\"' AS cql FROM b WHERE folded <> ''")
+def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).where("folded <> ''").select("item_id", records.word_query(F.split("folded", " ")).alias("cql"))
+
+
+_URL = "CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://user:word@') WHEN page_id % 5 = 0 THEN replace(url, 'http', 'ftp') WHEN page_id % 7 = 0 THEN 'no link' ELSE url END"
+
+
+@query(f"SELECT page_id, regexp_matches({_URL}, '^https?://[^/@?#]+(/|[?]|#|$)') AS public FROM pages")
+def public_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", records.public_url(F.expr(_URL)).alias("public"))
+
+
+@query(
+    "SELECT page_id::VARCHAR AS url, CASE WHEN page_id % 10 = 0 THEN 'no receipt' ELSE 'changed' END AS rule FROM pages WHERE html IS NOT NULL AND (page_id % 10 = 0 OR page_id % 9 = 0) "
+    "UNION ALL SELECT page_id::VARCHAR, 'no body' FROM pages WHERE html IS NULL"
+)
+def receipt_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as stored responses; every tenth has no receipt and every ninth a wrong one."""
+    sha = F.when(F.col("page_id") % 10 == 0, None).when(F.col("page_id") % 9 == 0, "x").otherwise(F.sha2(F.encode("html", "UTF-8"), 256))
+    return responses.receipt_violations(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), F.col("html").alias("body"), sha.alias("sha256")))
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT event_type AS query, n_name AS volume FROM events JOIN nation ON n_nationkey = user_id % 40) "
+    "SELECT query, volume, CASE WHEN r.query IS NULL THEN 'unavailable' ELSE 'ok' END AS status FROM (SELECT DISTINCT event_type AS query FROM events) q CROSS JOIN (SELECT n_name AS volume FROM nation) v LEFT JOIN r USING (query, volume)"
+)
+def volume_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of event as queries and nations as volumes, of which each kind has answers for some."""
+    e, n = table(spark, sf_dir, "events", "event_type", "user_id"), table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    stored = e.join(n, F.col("n_nationkey") == F.col("user_id") % 40).groupBy(F.col("event_type").alias("query"), F.col("n_name").alias("volume")).agg(F.lit("{}").alias("body"))
+    return responses.volume_fan(e.select(F.col("event_type").alias("query")).distinct(), n.select(F.col("n_name").alias("volume")), stored).select("query", "volume", "status")
+
+
+@query("SELECT k.conv_id AS conv_id, k.turn AS turn, k.text AS original, a.role || ': ' || a.text AS answers FROM conversations k LEFT JOIN (SELECT * FROM conversations WHERE turn % 2 = 1) a USING (conv_id, turn)")
+def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a key; the odd ones have their own speaker's answer."""
+    c = table(spark, sf_dir, "conversations").withColumnsRenamed({"conv_id": "set", "turn": "file"})
+    found = reporting.paired(c.select("set", "file", F.col("text").alias("original")), c.where("file % 2 = 1").select("set", "file", F.col("role").alias("reader"), F.col("text").alias("words")))
+    joined = F.array_join(F.transform("answers", lambda a: F.concat(a["reader"], F.lit(": "), a["words"])), "; ")
+    return found.select(F.col("set").alias("conv_id"), F.col("file").alias("turn"), "original", joined.alias("answers"))

@@ -140,3 +140,10 @@ def volume_fan(queries: DataFrame, volumes_: DataFrame, responses: DataFrame) ->
 def usable_scan(body: Column, least: int = 1000) -> Column:
     """OCR texts: not a web page, and not too short."""
     return (F.length(body) > least) & ~F.regexp_like(F.substring(body, 1, 500), F.lit(r"(?i)<\s*(html|!doctype)"))
+
+
+def receipt_violations(df: DataFrame) -> DataFrame:
+    """Stored responses (url, body, sha256) that can't be replayed: without body, without receipt, or changed since."""
+    sha = F.sha2(F.encode("body", "UTF-8"), 256)
+    rule = F.when(F.col("body").isNull(), "no body").when(F.col("sha256").isNull(), "no receipt").when(sha != F.col("sha256"), "changed")
+    return df.select("url", rule.alias("rule")).where("rule is not null")

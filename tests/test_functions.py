@@ -76,6 +76,13 @@ def test_context(spark):
     assert noisy.context(docs, "m", offset=2, before=1, after=2).first().context == "XbX"
 
 
+def test_context_keeps_documents_apart(spark):
+    docs = spark.createDataFrame([("m", "X123456789"), ("m", "ab.X"), ("m", None), ("m", "none"), ("n", "X")], "shelfmark string, text string")
+    assert sorted((r.offset, r.context) for r in noisy.context(docs, "m", "X", before=2, after=3).collect()) == [(0, "X123"), (3, "b.X")]
+    assert [r.offset for r in noisy.context(docs, "m", "b.", before=0, after=0).collect()] == [1]
+    assert sorted(r.context or "" for r in noisy.context(docs, "m", offset=1, before=5, after=2).collect()) == ["", "X12", "ab.", "non"]
+
+
 def test_markdown():
     got = reporting.markdown("# A *b*\n\ntext [l](https://a.example) <x>\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n```\n<c>\n```\n> said")
     assert got.split("\n") == [
