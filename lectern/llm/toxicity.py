@@ -1,18 +1,19 @@
 """Operator 10: toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
 
-Terms are runs of letters, lower case. The vocabulary is the ``TERMS`` terms with the highest log-likelihood
-ratio against the label and at least 2 ln(distinct terms) + ``MARGIN_G2`` (so the best of that many chance terms falls
-short) and at least ``LIFT`` times as frequent under one label as under the other, counted over all labelled training documents, as are the document frequencies. A document's vector is (1 + ln tf) * idf over the vocabulary, of length 1.
+Terms are runs of letters, lower case. The vocabulary is every term of the examples, without a bar: a term that no example has can't add to
+a cosine. A term's weight is (1 + ln tf) * idf * (``FLOOR`` + |log ratio of its smoothed frequencies under the two labels|), with
+document frequencies counted over all labelled training documents, so terms that don't tell the labels apart weigh little but are
+searched. A document's vector has length 1 over the vocabulary.
 
-Examples are a bounded sample of labelled training documents (``SAMPLE`` of each label with a vector, first by hash of the
+Examples are a bounded sample of labelled training documents (``SAMPLE`` of each label with a term, first by hash of the
 id; a parameter). Their postings lie in blocks of ``BLOCK`` examples; for each term and block the largest weight is
 kept. A query takes the ``FIRST`` blocks by upper bound (the sum of its weights times these maxima), scores their
 postings exactly, and then all blocks whose bound reaches the K-th best cosine: nothing else can enter, so the K nearest are
 exact. Ties go to the smaller example number.
 
 The vote is the sum of cosine**POWER over toxic neighbours against all, shrunk to the share of toxic documents by ``PRIOR``; a Platt
-curve fitted on the examples with each example left out itself makes it a probability. A text without any vocabulary
-term gets the share of toxic labels among the training documents without one. Evidence: the ids of the nearest examples.
+curve fitted on the examples with each example left out itself makes it a probability. A text without any
+term gets the share of toxic labels among the training documents without one, a text that shares none with an example the calibrated vote of no neighbours. Evidence: the ids of the nearest examples.
 
 Defined results: null and empty texts have no term. Null labels are left out; several labels of one id count by their
 largest. With no labels all scores are 0.5, with labels of one kind only that share. A null id counts as an empty id. Rows
@@ -25,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, table
 
-TERMS, MARGIN_G2, SAMPLE, BLOCK, K, POWER, PRIOR, THRESHOLD = 4096, 12.0, 4096, 64, 15, 2.0, 0.3, 0.7
-LIFT, FIRST = 4.0, 8
-#: Documents whose terms are counted at once, and scored vectors that a task keeps.
+SAMPLE, BLOCK, K, POWER, PRIOR, THRESHOLD = 4096, 64, 15, 2.0, 0.3, 0.7
+FLOOR, FIRST = 0.05, 8
+#: Documents whose terms are counted at once, and scores of texts that a task keeps.
 ROWS, KEPT = 1024, 5_000
 
 _TERM = re.compile(r"[^\W\d_]+")
@@ -61,28 +63,40 @@ class Vectors:
         return tuple(k for k, _ in pairs), tuple(x / norm for _, x in pairs)
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers start..end of all ranges in a row, and the range of each."""
+    size = end - start
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which], which
+
+
 class BlockMaxIndex:
+    """Postings by term and example; a cell is a term's postings in one block, with their largest weight."""
+
     def __init__(self, vectors: list[tuple[tuple[int, ...], tuple[float, ...]]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        blocks = -(-self.n // block)
-        self.most = np.zeros((n_terms, blocks))
-        own: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n_terms)]
-        for i, (ks, xs) in enumerate(vectors):
-            for k, x in zip(ks, xs, strict=True):
-                own[k][0].append(i)
-                own[k][1].append(x)
-                self.most[k, i // block] = max(self.most[k, i // block], x)
-        self.postings = [(np.array(a, np.int64), np.array(x, float)) for a, x in own]
+        self.blocks = -(-self.n // block)
+        sizes = np.array([len(ks) for ks, _ in vectors], np.int64)
+        term = np.fromiter((k for ks, _ in vectors for k in ks), np.int64, sizes.sum())
+        weight = np.fromiter((x for _, xs in vectors for x in xs), float, sizes.sum())
+        order = np.argsort(term, kind="stable")
+        term, self.weight, self.example = term[order], weight[order], np.repeat(np.arange(self.n), sizes)[order].astype(np.int32)
+        at = self.example // block
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (at[1:] != at[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.cell_start, self.cell_block = np.concatenate((first, [len(term)])), at[first]
+        self.cell_most = np.maximum.reduceat(self.weight, first) if len(term) else np.zeros(0)
+        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1))
 
     def nearest(self, ks: tuple[int, ...], xs: tuple[float, ...], k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with cosine over 0: the most promising blocks set the mark, then all blocks whose bound reaches it are scored."""
         if not ks:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.asarray(xs) @ self.most[list(ks)]
+        terms = np.asarray(ks)
+        cell, of = _ranges(self.term_start[terms], self.term_start[terms + 1])
+        x, at = np.asarray(xs)[of], self.cell_block[cell]
+        bound = np.bincount(at, x * self.cell_most[cell], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        at = np.concatenate([self.postings[t][0] for t in ks])
-        value = np.concatenate([x * self.postings[t][1] for t, x in zip(ks, xs, strict=True)])
         ids, sims, least, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
         while done < len(order):
             step = order[done : done + FIRST] if not done else order[done:]
@@ -90,10 +104,11 @@ class BlockMaxIndex:
             step = step[bound[step] >= least - 1e-12]
             if not len(step):
                 break
-            on = np.zeros(len(bound), bool)
+            on = np.zeros(self.blocks, bool)
             on[step] = True
-            on = on[at // self.block]
-            scores = np.bincount(at[on], value[on], self.n)
+            on = on[at]
+            spot, of = _ranges(self.cell_start[cell[on]], self.cell_start[cell[on] + 1])
+            scores = np.bincount(self.example[spot], x[on][of] * self.weight[spot], self.n)
             if without >= 0:
                 scores[without] = 0
             hit = np.flatnonzero(scores > 0)
@@ -108,10 +123,10 @@ class Voter:
     def __init__(self, vectors: list, labels: list[int], ids: list[int], n_terms: int, base: float, empty: float):
         order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))], labels[i], ids[i]))  # alike examples share blocks
         self.labels, self.ids = np.array([labels[i] for i in order], float), [ids[i] for i in order]
-        self.vectors, self.base, self.empty = [vectors[i] for i in order], base, empty
-        self.index = BlockMaxIndex(self.vectors, n_terms)
+        vectors, self.base, self.empty = [vectors[i] for i in order], base, empty
+        self.index = BlockMaxIndex(vectors, n_terms)
         self.curve = (1.0, 0.0)
-        raw = np.array([self.vote(*v, without=i)[0] for i, v in enumerate(self.vectors)])
+        raw = np.array([self.vote(*v, without=i)[0] for i, v in enumerate(vectors)])
         if len(raw) and 0 < self.labels.mean() < 1:
             self.curve = self._platt(raw, self.labels)
 
@@ -134,8 +149,8 @@ class Voter:
         w = sims**POWER
         return float(((w * self.labels[ids]).sum() + PRIOR * self.base) / (w.sum() + PRIOR)), ids
 
-    def score(self, ks: tuple, xs: tuple) -> tuple[float, list[int]]:
-        if not ks or not self.vectors:
+    def score(self, ks: tuple, xs: tuple, filled: bool = True) -> tuple[float, list[int]]:
+        if not filled or not len(self.ids):
             return self.empty, []
         raw, ids = self.vote(ks, xs)
         return float(1 / (1 + np.exp(-(self.curve[0] * self._logit(raw) + self.curve[1])))), [self.ids[i] for i in ids[:3]]
@@ -153,41 +168,46 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([all_[w] for w in names], pa.int64()), pa.array([bad[w] for w in names], pa.int64())], names=["term", "n", "bad"])
 
 
-def choose_terms(labelled: DataFrame, n: int, bad: int) -> dict[str, tuple[int, float]]:
-    """{term: (number, idf)} of the terms most telling of the label; at most TERMS."""
-    if not 0 < bad < n:
-        return {}
-    counts = materialize(labelled.select("y", "text").mapInArrow(_term_counts, "term string, n bigint, bad bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "op10-terms")
-    least = 2 * math.log(max(counts.count(), 1)) + MARGIN_G2
-    cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    a, c = F.col("bad").cast("double"), (F.col("n") - F.col("bad")).cast("double")
-    b, d, share = F.lit(float(bad)) - a, F.lit(float(n - bad)) - c, F.col("n") / n
-    g2 = 2 * (cell(a, share * bad) + cell(b, (1 - share) * bad) + cell(c, share * (n - bad)) + cell(d, (1 - share) * (n - bad)))
-    lift = ((a + 0.5) / (bad + 1)) / ((c + 0.5) / (n - bad + 1))
-    rows = counts.withColumn("g2", g2).where((F.col("g2") >= least) & ((lift >= LIFT) | (lift <= 1 / LIFT))).orderBy(F.desc("g2"), "term").limit(TERMS).collect()
-    return {r.term: (k, math.log((1 + n) / (1 + r.n)) + 1) for k, r in enumerate(rows)}
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bool(_TERM.search(t.as_py() or "")) for t in b.column(2)], pa.bool_())], names=["doc_id", "th", "filled"])
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column(0) for w in terms_of(t.as_py())}), pa.string())], names=["term"])
+
+
+def weigh_terms(labelled: DataFrame, examples: DataFrame, n: int, bad: int) -> dict[str, tuple[int, float]]:
+    """{term: (number, weight)} of all terms of the examples; frequencies are those in all labelled documents."""
+    counts = labelled.select("y", "text").mapInArrow(_term_counts, "term string, n bigint, bad bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    own = examples.select("text").mapInArrow(_terms, "term string").distinct()
+    rows, share = counts.join(own, "term").orderBy("term").collect(), bad / n
+    ratio = lambda r: math.log((r.bad + share) / (bad + 1) * (n - bad + 1) / (r.n - r.bad + 1 - share))
+    return {r.term: (k, (math.log((1 + n) / (1 + r.n)) + 1) * (FLOOR + abs(ratio(r)))) for k, r in enumerate(rows)}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict, Voter]:
     """Vocabulary and voter from ``docs`` (doc_id, text) and ``labels`` (doc_id, y)."""
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
-    labelled = docs.where("doc_id is not null").join(known.hint("merge"), "doc_id")  # labels have no bound: never broadcast
-    n, bad = (int(x or 0) for x in labelled.agg(F.count("*"), F.sum("y")).first())
-    vocabulary = choose_terms(labelled, n, bad)
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(sent.value)
-        for b in batches:
-            got = [vectors.of(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["doc_id", "y", "ks", "xs"])
-
-    rows = materialize(labelled.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y int, ks array<int>, xs array<double>"), "op10-examples")
-    none = rows.where(F.size("ks") == 0).agg(F.count("*"), F.sum("y")).first()
+    docs = docs.where("doc_id is not null").withColumn("th", F.xxhash64("text"))
+    marked = docs.select("doc_id", "th", "text").mapInArrow(_filled, "doc_id bigint, th bigint, filled boolean")
+    rows = materialize(marked.join(known.hint("merge"), "doc_id"), "op10-rows")  # labels have no bound: never broadcast
+    n, bad, n_none, bad_none = (int(x or 0) for x in rows.agg(F.count("*"), F.sum("y"), F.count_if(~F.col("filled")), F.sum(F.when(~F.col("filled"), F.col("y")))).first())
     base = bad / n if n else 0.5
-    empty = (int(none[1] or 0) + base) / (none[0] + 1)
-    picked = [r for y in (0, 1) for r in rows.where((F.size("ks") > 0) & (F.col("y") == y)).orderBy(F.xxhash64("doc_id"), "doc_id", "ks").limit(sample).collect()] if vocabulary else []
-    return vocabulary, Voter([(tuple(r.ks), tuple(r.xs)) for r in picked], [r.y for r in picked], [r.doc_id for r in picked], max(1, len(vocabulary)), base, empty)
+    empty = (bad_none + base) / (n_none + 1)
+    if not 0 < bad < n:
+        return {}, Voter([], [], [], 1, base, empty)
+    first = [F.xxhash64("doc_id"), "doc_id", "th"]
+    keys = [rows.where(F.col("filled") & (F.col("y") == y)).orderBy(*first).limit(sample).select("doc_id", "th", "y") for y in (0, 1)]
+    keys = materialize(keys[0].union(keys[1]).distinct(), "op10-keys")  # at most 2 * sample rows: broadcast, so only their texts are moved
+    found = docs.join(F.broadcast(keys), ["doc_id", "th"])
+    examples = [found.where(F.col("y") == y).orderBy(*first).limit(sample).select("doc_id", "th", "y", "text") for y in (0, 1)]
+    examples = materialize(examples[0].union(examples[1]), "op10-examples")
+    vocabulary = weigh_terms(docs.join(known.hint("merge"), "doc_id"), examples, n, bad)
+    vectors = Vectors(vocabulary)
+    picked = [(r.doc_id, r.y, *vectors.of(r.text)) for r in examples.orderBy("y", *first).toLocalIterator()]
+    return vocabulary, Voter([(ks, xs) for _, _, ks, xs in picked], [y for _, y, *_ in picked], [i for i, *_ in picked], len(vocabulary), base, empty)
 
 
 def score_documents(docs: DataFrame, vocabulary: dict, voter: Voter) -> DataFrame:
@@ -200,12 +220,13 @@ def score_documents(docs: DataFrame, vocabulary: dict, voter: Voter) -> DataFram
         for b in batches:
             out = []
             for t in b.column("text"):
-                v = vectors.of(t.as_py())
-                if v not in seen:
+                text = t.as_py() or ""
+                key = md5(text.encode()).digest()
+                if key not in seen:
                     if len(seen) > KEPT:
                         seen.clear()
-                    seen[v] = voter.score(*v)
-                out.append(seen[v])
+                    seen[key] = voter.score(*vectors.of(text), bool(_TERM.search(text)))
+                out.append(seen[key])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
 
     return docs.mapInArrow(run, "doc_id bigint, held_out boolean, score double, evidence array<bigint>")

@@ -506,3 +506,10 @@ def test_block_max_search_is_exact():
         ids, got = index.nearest(*q)
         assert ids.tolist() == [i for _, i in want] and np.allclose(got, [-s for s, _ in want])
     assert len(index.nearest((), ())[0]) == 0
+
+
+def test_every_text_with_a_term_is_searched(spark):
+    docs = spark.createDataFrame([(k, f"{prose(k, 30)} own{chr(97 + k)}") for k in range(20)] + [(90, ""), (91, "12 ?")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k < 4)) for k in range(20)] + [(90, 0), (91, 0)], "doc_id bigint, y int")
+    rows = toxicity.score_documents(docs.withColumn("held_out", F.lit(True)), *toxicity.train(docs, labels)).collect()
+    assert all((r.evidence[:1] == [r.doc_id]) if r.doc_id < 90 else not r.evidence for r in rows) and len(rows) == 22
