@@ -2,7 +2,8 @@
 
 Each document is repeated by a Poisson count whose mean is its source's repetition rate
 (target share * budget / documents of the source). The count comes from inverting the Poisson distribution at
-a uniform number hashed from the seed and the id, so any row can be recomputed anywhere. Copies are dealt out
+a uniform number hashed from the seed and the id, so any row can be recomputed anywhere. A rate over ``MOST_RATE`` is split into equal parts
+of at most that, each with a uniform number of its own (hashed with the part's number from the second on): their sum is Poisson with the whole rate. Copies are dealt out
 by a hash of seed, id and copy, which is also the order inside the partitions: a global shuffle.
 
 Target shares default to the temperature rule share ~ documents ** ``ALPHA`` and the budget to the number of
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize, shuffle_partitions, table
 
 ALPHA, SEED = 0.5, 42
-#: Copies beyond which the distribution isn't inverted: at rates to ``MOST_RATE`` the rest has under 1e-17.
+#: Largest rate that is inverted at once: up to it the distribution beyond ``_TERMS`` copies has under 1e-17.
 MOST_RATE = 16.0
 _TERMS = 80
 
@@ -40,6 +41,13 @@ def _poisson(rate: Column, u: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), start, step, lambda s: s["k"])
 
 
+def _copies(rate: Column, ident: Column) -> Column:
+    """A Poisson count of any rate: the sum of independent ones of at most MOST_RATE."""
+    parts = F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+    own = lambda j: F.when(j == 0, ident).otherwise(F.concat(ident, F.lit(":part:"), j.cast("string")))
+    return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, j: n + _poisson(rate / parts, uniform(own(j))))
+
+
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, alpha: float = ALPHA) -> DataFrame:
     """__source, __rate: a row for each source."""
     n = docs.groupBy(F.col("source").alias("__source")).agg(F.count("*").cast("double").alias("n"))
@@ -56,12 +64,11 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, budget: floa
 def replicate(docs: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     docs = docs.drop("replica", "shuffle_key")
     rate = materialize(rates(docs, targets, budget, alpha), "op8-rates")  # written, so the join is picked by its measured size and texts stay where they are
-    whole = F.floor(F.greatest("__rate", F.lit(MOST_RATE)) - MOST_RATE)  # rates over MOST_RATE: that much for certain, the rest by chance
     ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__doc.doc_id").cast("string"), F.lit("")))
-    copies = _poisson(F.col("__rate") - whole, uniform(ident)) + whole
+    copies = _copies(F.col("__rate"), ident)
     # one row whose fields are the document, so no column of it can clash with ours
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
-    counted = own.join(rate, F.col("__doc.source").eqNullSafe(rate["__source"])).withColumn("__n", copies.cast("int")).where("__n > 0")
+    counted = own.join(rate, F.col("__doc.source").eqNullSafe(rate["__source"])).withColumn("__n", copies).where("__n > 0")
     out = counted.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("replica"))
     key = F.md5(F.concat_ws(":", ident, F.col("replica").cast("string")).cast("binary"))
     return out.select("__doc.*", "replica", key.alias("shuffle_key")).repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
@@ -75,7 +82,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return replicate(docs)
 
 
-#: Body over a relation {docs} with the columns of documents.
+#: Body over a relation {docs} with the columns of documents; it gives the operator's counts for rates up to ``MOST_RATE`` only.
 SQL = """
 WITH n AS (SELECT source, count(*)::DOUBLE AS n, pow(count(*)::DOUBLE, 0.5) AS w FROM {docs} GROUP BY source),
 r AS (SELECT source, w / (SELECT sum(w) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),

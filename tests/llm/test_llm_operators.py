@@ -453,6 +453,16 @@ def test_counts_are_poisson_and_meet_targets(spark):
     assert 36_000 - n["a"].k == pytest.approx(36_000 * math.exp(-10 / 36), rel=0.02)
 
 
+def test_counts_are_poisson_at_rates_over_most_rate(spark):
+    docs = spark.range(8_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "b").otherwise("a").alias("source"))
+    for rate in (22.0, 100.0):
+        out = mixing.replicate(docs, {"a": 1.0, "b": 0.0}, budget=4_000 * rate).groupBy("doc_id").count()
+        n = np.array([r["count"] for r in out.collect()])
+        assert n.mean() == pytest.approx(rate, rel=0.02) and n.var() == pytest.approx(rate, rel=0.1)
+        pmf = np.exp([k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(400)])
+        assert np.abs(np.cumsum(np.bincount(n, minlength=400)[:400]) / 4_000 - np.cumsum(pmf)).max() < 0.03
+
+
 # 9
 
 
