@@ -42,10 +42,15 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (one column); null ids never match."""
-    gone = ids.toDF("__gone").where("__gone is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def keyed(docs: DataFrame, tag: str) -> DataFrame:
+    """__row, __doc: a key for each row, whatever its id, and the row; written once, so the keys stay."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")), tag)
+
+
+def drop_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``rows`` (keyed) without those whose key is in ``gone`` (one column)."""
+    gone = gone.toDF("__gone").distinct()
+    return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select("__doc.*")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, table
+from .common import drop_rows, keyed, table
 
 RATE, BLOCK = 0.08, 4_000_000
 
@@ -154,4 +154,6 @@ def op3_pigeonhole_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no item."""
-    return drop_ids(docs, matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    rows = keyed(docs, "op3-rows")
+    found = matches(rows.select(F.col("__row").alias("doc_id"), "__doc.text"), table(spark, sf_dir, "benchmark"))
+    return drop_rows(rows, found.select("doc_id"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_ids, materialize, table
+from .common import drop_rows, keyed, materialize, table
 
 FEATURES = ("word_length", "symbols", "duplicate_lines", "repeats", "capitals", "punctuation", "digits", "variety")
 P = len(FEATURES)
@@ -214,4 +214,6 @@ def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept, all their columns as they were."""
-    return drop_ids(docs, assess(docs).where("not kept").select("doc_id"))
+    rows = keyed(docs, "op1-rows")
+    found = assess(rows.select(F.col("__row").alias("doc_id"), "__doc.text", "__doc.lang", "__doc.source"))
+    return drop_rows(rows, found.where("not kept").select("doc_id"))

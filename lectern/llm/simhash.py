@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_ids, materialize, table
+from .common import LOWER, drop_rows, keyed, materialize, table
 
 LIMIT, BLOCKS, PIVOTS, WIDE = 2, 6, 48, 2048
 SEED, SHINGLE = 42, 3
@@ -68,8 +68,8 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
+        prints = np.fromiter((fingerprint(t.as_py()) for t in b.columns[-1]), np.uint64, b.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints)], names=[*b.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -184,6 +184,11 @@ def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one whose id names it. Rows with a null id all stay."""
-    found = near_duplicates(docs)
-    return drop_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+    """Exactly one row of each component stays: that of the smallest id, of several the first; a null id comes last."""
+    rows = keyed(docs, "op6-rows")
+    own = rows.select(F.col("__doc.doc_id").cast("bigint").alias("doc_id"), "__row", F.col("__doc.text").cast("string").alias("text"))
+    prints = materialize(own.mapInArrow(_fingerprints, "doc_id bigint, __row bigint, fp bigint"), "op6-prints")
+    # classes take the smallest of these in the place of the smallest id
+    named = prints.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("doc_id"), "fp")
+    found = prints.join(classes(named), "fp")
+    return drop_rows(rows, found.where(F.col("__row") != F.col("component_id")["__row"]).select("__row"))

@@ -4,10 +4,10 @@ import os
 from collections import Counter
 
 import pytest
-from test_llm_operators import SF, brute_components, brute_cut, brute_quality, least_distance
+from test_llm_operators import SF, brute_components, brute_cut, brute_quality, least_distance, prose
 
 import corpus_pipeline
-from lectern.llm import decontaminate, mixing, simhash
+from lectern.llm import decontaminate, mixing, quality_rules, simhash
 
 
 def brute_mix(rows):
@@ -44,3 +44,25 @@ def test_pipeline_against_brute_force(spark):
     rows = got.collect()
     assert {(r.doc_id, r.text, r.replica) for r in rows} == brute_mix(clean) and len(rows) > 20
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "poisson_mixing"]
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Repeated rows and null ids: one row of each component stays, and a rejected row takes no other with it."""
+    a, b, c, short = prose(1, 120), prose(2, 120), prose(3, 120), "too short"
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    texts = lambda module, rows: Counter((r.doc_id, r.text) for r in module.stage(spark, make([(i, t, "en", "s") for i, t in rows]), str(tmp_path)).collect())
+    assert texts(simhash, [(1, a), (1, a), (None, a), (2, a), (None, b), (None, b), (3, c)]) == Counter([(1, a), (None, b), (3, c)])
+    assert texts(quality_rules, [(1, a), (1, short), (None, b), (None, short)]) == Counter([(1, a), (None, b)])
+    spark.createDataFrame([(1, c[100:300])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert texts(decontaminate, [(1, a), (1, c), (None, b), (None, c)]) == Counter([(1, a), (None, b)])
+
+
+def test_pipeline_keeps_a_repeated_text(spark, tmp_path):
+    a = prose(1, 120)
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (None, a, "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(7, 40))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert [(r.doc_id, r.text) for r in docs.collect()] == [(1, a)]
