@@ -1,17 +1,17 @@
-"""Operator 6: SimHash near-duplicates found through pivot distance tables.
+"""Operator 6: SimHash near-duplicates: candidates from blocks of bits, filtered by distances to pivots.
 
 Fingerprints: words of the lower-cased (A-Z) text, 3-word shingles with repeats, XXH64 with seed 42; a bit
 is 1 if set in over half the hashes. Fingerprints link at ``LIMIT`` (2) or fewer differing bits.
 
-Pivot tables. The distance of a fingerprint to a reference r is a coordinate, and two fingerprints within
+Blocks and pivots. The distance of a fingerprint to a reference r is a coordinate, and two fingerprints within
 LIMIT differ by LIMIT at most in every coordinate. Two kinds of references are used:
 
-* 65 local ones, the zero word and each single bit. Coordinate differences against the zero word give the
+* 65 local ones, the zero word and each single bit. They are the reason, not computed: coordinate differences against the zero word give the
   bits back, so the coordinates that belong to one block of bits are a join key: of ``BLOCKS`` (6) blocks at
   most two hold a difference, so two linked fingerprints agree in all coordinates of some 4 blocks. Each
   fingerprint goes to its 15 choices of 4 blocks.
 * ``PIVOTS`` (48) spread ones, fixed pseudo-random words. Inside a bucket rows are ordered by their first
-  coordinate, only rows within LIMIT in it are paired, a pair is discarded if its largest coordinate
+  coordinate (computed there, no table is kept), only rows within LIMIT in it are paired, a pair is discarded if its largest coordinate
   difference is over LIMIT, and the survivors are verified by XOR and bit count.
 
 A bucket gives one row per fingerprint, the smallest one it reaches there, never its pairs. Buckets over
