@@ -550,7 +550,7 @@ def status_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
     century = F.concat(F.lit("12th or "), F.col("doc_id") % 5 + 13, F.lit("th century"))
-    p = records.priority(F.when(F.col("lang") == "en", "Latin").otherwise(F.col("lang")), century, F.col("n_chars").cast("double"), F.substring("text", 1, 100))
+    p = records.priority(F.when(F.col("lang") == "en", "Latin").otherwise(F.col("lang")), century, F.col("n_chars").cast("double"), F.col("text"))
     w = Window.partitionBy("priority").orderBy("doc_id")
     return docs.select("doc_id", p.alias("priority")).withColumn("place", F.row_number().over(w).cast("bigint"))
 

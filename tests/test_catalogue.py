@@ -42,3 +42,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_priority_finds_a_genre_late_in_the_text(spark, tmp_path):
+    rows = [(1, "x " * 200, "en", 400), (6, "x " * 200 + "sermon", "en", 400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.priority for r in QUERIES["priority_rank"](spark, str(tmp_path)).collect()}
+    assert got[6] == got[1] + 10
