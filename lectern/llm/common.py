@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \t \n \v \f \r. ``bytes.split()`` splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
+_RUNS = re.compile(r"[^\W\d_]+")  # letters, and numbers such as fractions
+_LETTERS = regex.compile(r"\p{L}+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    found = _RUNS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else _LETTERS.findall(run))]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, one in the temporary folder of this machine, if all tasks run on it too; else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lectern-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/lectern-{uuid.uuid4().hex}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 

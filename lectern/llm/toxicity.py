@@ -1,14 +1,15 @@
 """Operator 10: toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
 
 Terms are runs of letters, lower case. The vocabulary is every term of the examples, without a bar: a term that no example has can't add to
-a cosine. A term's weight is (1 + ln tf) * idf * (``FLOOR`` + |log ratio of its smoothed frequencies under the two labels|), with
-document frequencies counted over all labelled training documents, so terms that don't tell the labels apart weigh little but are
-searched. A document's vector has length 1 over the vocabulary.
+a cosine. A term's weight is (1 + ln tf) * idf * (``FLOOR`` + what is left of the log ratio of its smoothed frequencies under the two labels after
+``TRUST`` standard errors), with document frequencies counted over all labelled training documents, so terms that don't tell the labels
+apart for certain weigh little but are searched. A document's vector has length 1 over the vocabulary.
 
 Examples are a bounded sample of labelled training documents (``SAMPLE`` of each label with a term, first by hash of the
 id; a parameter). Their postings lie in blocks of ``BLOCK`` examples; for each term and block the largest weight is
-kept. A query takes the ``FIRST`` blocks by upper bound (the sum of its weights times these maxima), scores their
-postings exactly, and then all blocks whose bound reaches the K-th best cosine: nothing else can enter, so the K nearest are
+kept. The ``DENSE`` terms that most examples have are kept as columns instead and are added up for 64 queries at once. A block's bound is the best of its
+examples by these columns and the sum of the query's weights times the maxima of all other terms. A query reads the postings of the ``FIRST`` blocks by
+bound, and then of all blocks whose bound reaches the K-th best cosine: nothing else can enter, so the K nearest are
 exact. Ties go to the smaller example number.
 
 The vote is the sum of cosine**POWER over toxic neighbours against all, shrunk to the share of toxic documents by ``PRIOR``; a Platt
@@ -22,8 +23,6 @@ that repeat an id give a row each. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
@@ -33,34 +32,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, table
+from .common import crc_mod, letter_runs, materialize, table
 
 SAMPLE, BLOCK, K, POWER, PRIOR, THRESHOLD = 4096, 64, 15, 2.0, 0.3, 0.7
-FLOOR, FIRST = 0.05, 8
+FLOOR, TRUST, DENSE, FIRST = 0.05, 0.5, 256, 4
+#: Queries that are searched at once.
+QUERIES = 64
 #: Documents whose terms are counted at once, and scores of texts that a task keeps.
-ROWS, KEPT = 1024, 5_000
-
-_TERM = re.compile(r"[^\W\d_]+")
+ROWS, KEPT = 512, 5_000
 
 
 def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").lower())
+    return letter_runs((text or "").lower())
+
+
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 class Vectors:
-    """TF-IDF vectors over a vocabulary {term: (number, idf)}."""
+    """TF-IDF vectors over a vocabulary {term: number}; weights by number."""
 
-    def __init__(self, vocabulary: dict[str, tuple[int, float]]):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray):
+        self.vocabulary, self.weights = vocabulary, weights
 
-    def of(self, text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    def of(self, words: list[str]) -> Vector:
         known = self.vocabulary
-        found = Counter(w for w in terms_of(text) if w in known)
-        if not found:
-            return (), ()
-        pairs = sorted((known[w][0], (1 + math.log(n)) * known[w][1]) for w, n in found.items())
-        norm = math.sqrt(sum(x * x for _, x in pairs))
-        return tuple(k for k, _ in pairs), tuple(x / norm for _, x in pairs)
+        pairs = [(k, n) for w, n in Counter(words).items() if (k := known.get(w)) is not None]
+        if not pairs:
+            return np.zeros(0, np.int64), np.zeros(0)
+        ks, ns = np.array(sorted(pairs), np.int64).T
+        x = (1 + np.log(ns)) * self.weights[ks]
+        return ks, x / np.sqrt((x * x).sum())
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,48 +73,71 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class BlockMaxIndex:
-    """Postings by term and example; a cell is a term's postings in one block, with their largest weight."""
+    """Postings by term and example; a cell is a term's postings in one block, with their largest weight. Frequent terms are columns."""
 
-    def __init__(self, vectors: list[tuple[tuple[int, ...], tuple[float, ...]]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK, dense: int = DENSE):
         self.n, self.block = len(vectors), block
         self.blocks = -(-self.n // block)
         sizes = np.array([len(ks) for ks, _ in vectors], np.int64)
-        term = np.fromiter((k for ks, _ in vectors for k in ks), np.int64, sizes.sum())
-        weight = np.fromiter((x for _, xs in vectors for x in xs), float, sizes.sum())
+        term = np.concatenate([ks for ks, _ in vectors]) if self.n else np.zeros(0, np.int64)
+        weight = np.concatenate([xs for _, xs in vectors]) if self.n else np.zeros(0)
+        example = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:dense]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.columns = np.zeros((len(often), self.blocks * block))
+        common = self.column[term] >= 0
+        self.columns[self.column[term[common]], example[common]] = weight[common]
+        term, weight, example = term[~common], weight[~common], example[~common]
         order = np.argsort(term, kind="stable")
-        term, self.weight, self.example = term[order], weight[order], np.repeat(np.arange(self.n), sizes)[order].astype(np.int32)
+        term, self.weight, self.example = term[order], weight[order], example[order]
         at = self.example // block
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (at[1:] != at[:-1])))) if len(term) else np.zeros(0, np.int64)
         self.cell_start, self.cell_block = np.concatenate((first, [len(term)])), at[first]
         self.cell_most = np.maximum.reduceat(self.weight, first) if len(term) else np.zeros(0)
         self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1))
 
-    def nearest(self, ks: tuple[int, ...], xs: tuple[float, ...], k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with cosine over 0: the most promising blocks set the mark, then all blocks whose bound reaches it are scored."""
-        if not ks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.asarray(ks)
-        cell, of = _ranges(self.term_start[terms], self.term_start[terms + 1])
-        x, at = np.asarray(xs)[of], self.cell_block[cell]
-        bound = np.bincount(at, x * self.cell_most[cell], self.blocks)
+    def nearest(self, queries: list[Vector], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the numbers and cosines of the k nearest examples with cosine over 0."""
+        out = []
+        for a in range(0, len(queries), QUERIES):
+            part = queries[a : a + QUERIES]
+            own = np.zeros((len(part), len(self.columns)))
+            for i, (ks, xs) in enumerate(part):
+                at = self.column[ks]
+                own[i, at[at >= 0]] = xs[at >= 0]
+            begun = own @ self.columns
+            out += [self._search(*q, begun[i], k, without[a + i] if without else -1) for i, q in enumerate(part)]
+        return out
+
+    def _search(self, ks: np.ndarray, xs: np.ndarray, begun: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        rare = self.column[ks] < 0
+        ks, xs = ks[rare], xs[rare]
+        cell, of = _ranges(self.term_start[ks], self.term_start[ks + 1])
+        x, at = xs[of], self.cell_block[cell]
+        begun = begun.reshape(self.blocks, self.block)
+        bound = begun.max(1) + np.bincount(at, x * self.cell_most[cell], self.blocks) if self.blocks else np.zeros(0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         ids, sims, least, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
         while done < len(order):
             step = order[done : done + FIRST] if not done else order[done:]
             done += len(step)
-            step = step[bound[step] >= least - 1e-12]
+            step = np.sort(step[bound[step] >= least - 1e-12])
             if not len(step):
                 break
-            on = np.zeros(self.blocks, bool)
-            on[step] = True
-            on = on[at]
-            spot, of = _ranges(self.cell_start[cell[on]], self.cell_start[cell[on] + 1])
-            scores = np.bincount(self.example[spot], x[on][of] * self.weight[spot], self.n)
+            spot = np.full(self.blocks, -1, np.int64)
+            spot[step] = np.arange(len(step)) * self.block
+            on = np.flatnonzero(spot[at] >= 0)
+            read, of = _ranges(self.cell_start[cell[on]], self.cell_start[cell[on] + 1])
+            where = spot[at[on]][of] + self.example[read] % self.block
+            scores = begun[step].ravel() + np.bincount(where, x[on][of] * self.weight[read], len(step) * self.block)
+            hit = np.flatnonzero(scores >= max(least - 1e-12, 1e-300))
+            found = step[hit // self.block] * self.block + hit % self.block
+            scores = scores[hit]
             if without >= 0:
-                scores[without] = 0
-            hit = np.flatnonzero(scores > 0)
-            ids, sims = np.concatenate([ids, hit]), np.concatenate([sims, scores[hit]])
+                found, scores = found[found != without], scores[found != without]
+            ids, sims = np.concatenate([ids, found]), np.concatenate([sims, scores])
             top = np.lexsort((ids, -np.round(sims, 12)))[:k]
             ids, sims = ids[top], sims[top]
             least = sims[-1] if len(sims) == k else 0.0
@@ -120,14 +145,14 @@ class BlockMaxIndex:
 
 
 class Voter:
-    def __init__(self, vectors: list, labels: list[int], ids: list[int], n_terms: int, base: float, empty: float):
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))], labels[i], ids[i]))  # alike examples share blocks
+    def __init__(self, vectors: list[Vector], labels: list[int], ids: list[int], n_terms: int, base: float, empty: float):
+        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][int(np.argmax(vectors[i][1]))]), labels[i], ids[i]))  # alike examples share blocks
         self.labels, self.ids = np.array([labels[i] for i in order], float), [ids[i] for i in order]
         vectors, self.base, self.empty = [vectors[i] for i in order], base, empty
         self.index = BlockMaxIndex(vectors, n_terms)
         self.curve = (1.0, 0.0)
-        raw = np.array([self.vote(*v, without=i)[0] for i, v in enumerate(vectors)])
-        if len(raw) and 0 < self.labels.mean() < 1:
+        if len(order) and 0 < self.labels.mean() < 1:
+            raw = np.array([self.vote(*found) for found in self.index.nearest(vectors, without=list(range(len(vectors))))])
             self.curve = self._platt(raw, self.labels)
 
     @staticmethod
@@ -144,16 +169,18 @@ class Voter:
             w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (goal - p) - 1e-3 * (w - [1, 0]))
         return max(float(w[0]), 0.05), float(w[1])
 
-    def vote(self, ks: tuple, xs: tuple, without: int = -1) -> tuple[float, np.ndarray]:
-        ids, sims = self.index.nearest(ks, xs, without=without)
+    def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         w = sims**POWER
-        return float(((w * self.labels[ids]).sum() + PRIOR * self.base) / (w.sum() + PRIOR)), ids
+        return float(((w * self.labels[ids]).sum() + PRIOR * self.base) / (w.sum() + PRIOR))
 
-    def score(self, ks: tuple, xs: tuple, filled: bool = True) -> tuple[float, list[int]]:
-        if not filled or not len(self.ids):
-            return self.empty, []
-        raw, ids = self.vote(ks, xs)
-        return float(1 / (1 + np.exp(-(self.curve[0] * self._logit(raw) + self.curve[1])))), [self.ids[i] for i in ids[:3]]
+    def scores(self, vectors: list[Vector], filled: list[bool]) -> list[tuple[float, list[int]]]:
+        """Score and evidence of each vector; filled: whether its text has a term at all."""
+        out: list[tuple[float, list[int]]] = [(self.empty, [])] * len(vectors)
+        own = [i for i, f in enumerate(filled) if f and len(self.ids)]
+        for i, (ids, sims) in zip(own, self.index.nearest([vectors[i] for i in own]), strict=True):
+            raw = self.vote(ids, sims)
+            out[i] = float(1 / (1 + np.exp(-(self.curve[0] * self._logit(raw) + self.curve[1])))), [self.ids[j] for j in ids[:3]]
+        return out
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +197,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bool(_TERM.search(t.as_py() or "")) for t in b.column(2)], pa.bool_())], names=["doc_id", "th", "filled"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bool(terms_of(t.as_py())) for t in b.column(2)], pa.bool_())], names=["doc_id", "th", "filled"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,17 +205,19 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column(0) for w in terms_of(t.as_py())}), pa.string())], names=["term"])
 
 
-def weigh_terms(labelled: DataFrame, examples: DataFrame, n: int, bad: int) -> dict[str, tuple[int, float]]:
-    """{term: (number, weight)} of all terms of the examples; frequencies are those in all labelled documents."""
+def weigh_terms(labelled: DataFrame, examples: DataFrame, n: int, bad: int) -> Vectors:
+    """The vectors over all terms of the examples; frequencies are those in all labelled documents."""
     counts = labelled.select("y", "text").mapInArrow(_term_counts, "term string, n bigint, bad bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     own = examples.select("text").mapInArrow(_terms, "term string").distinct()
-    rows, share = counts.join(own, "term").orderBy("term").collect(), bad / n
-    ratio = lambda r: math.log((r.bad + share) / (bad + 1) * (n - bad + 1) / (r.n - r.bad + 1 - share))
-    return {r.term: (k, (math.log((1 + n) / (1 + r.n)) + 1) * (FLOOR + abs(ratio(r)))) for k, r in enumerate(rows)}
+    found = counts.join(own, "term").orderBy("term").toPandas()
+    share, all_, in_bad = bad / n, found["n"].to_numpy(float), found["bad"].to_numpy(float)
+    toxic, clean = in_bad + share, all_ - in_bad + 1 - share
+    ratio = np.abs(np.log(toxic / (bad + 1) * (n - bad + 1) / clean)) - TRUST * np.sqrt(1 / toxic + 1 / clean)
+    return Vectors({w: k for k, w in enumerate(found["term"])}, (np.log((1 + n) / (1 + all_)) + 1) * (FLOOR + np.maximum(ratio, 0)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict, Voter]:
-    """Vocabulary and voter from ``docs`` (doc_id, text) and ``labels`` (doc_id, y)."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Vectors, Voter]:
+    """Vectors and voter from ``docs`` (doc_id, text) and ``labels`` (doc_id, y)."""
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     docs = docs.where("doc_id is not null").withColumn("th", F.xxhash64("text"))
     marked = docs.select("doc_id", "th", "text").mapInArrow(_filled, "doc_id bigint, th bigint, filled boolean")
@@ -197,36 +226,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     base = bad / n if n else 0.5
     empty = (bad_none + base) / (n_none + 1)
     if not 0 < bad < n:
-        return {}, Voter([], [], [], 1, base, empty)
+        return Vectors({}, np.zeros(0)), Voter([], [], [], 1, base, empty)
     first = [F.xxhash64("doc_id"), "doc_id", "th"]
     keys = [rows.where(F.col("filled") & (F.col("y") == y)).orderBy(*first).limit(sample).select("doc_id", "th", "y") for y in (0, 1)]
     keys = materialize(keys[0].union(keys[1]).distinct(), "op10-keys")  # at most 2 * sample rows: broadcast, so only their texts are moved
     found = docs.join(F.broadcast(keys), ["doc_id", "th"])
     examples = [found.where(F.col("y") == y).orderBy(*first).limit(sample).select("doc_id", "th", "y", "text") for y in (0, 1)]
     examples = materialize(examples[0].union(examples[1]), "op10-examples")
-    vocabulary = weigh_terms(docs.join(known.hint("merge"), "doc_id"), examples, n, bad)
-    vectors = Vectors(vocabulary)
-    picked = [(r.doc_id, r.y, *vectors.of(r.text)) for r in examples.orderBy("y", *first).toLocalIterator()]
-    return vocabulary, Voter([(ks, xs) for _, _, ks, xs in picked], [y for _, y, *_ in picked], [i for i, *_ in picked], len(vocabulary), base, empty)
+    vectors = weigh_terms(docs.join(known.hint("merge"), "doc_id"), examples, n, bad)
+    picked = [(r.doc_id, r.y, vectors.of(terms_of(r.text))) for r in examples.orderBy("y", *first).toLocalIterator()]
+    return vectors, Voter([v for *_, v in picked], [y for _, y, _ in picked], [i for i, *_ in picked], len(vectors.vocabulary), base, empty)
 
 
-def score_documents(docs: DataFrame, vocabulary: dict, voter: Voter) -> DataFrame:
+def score_documents(docs: DataFrame, vectors: Vectors, voter: Voter) -> DataFrame:
     """``docs`` (doc_id, held_out, text) as doc_id, held_out, score, evidence."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, voter))
+    sent = docs.sparkSession.sparkContext.broadcast((vectors, voter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, voter = sent.value
-        vectors, seen = Vectors(vocabulary), {}
-        for b in batches:
-            out = []
+        vectors, voter = sent.value
+        seen: dict[bytes, tuple[float, list[int]]] = {}
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            if len(seen) > KEPT:
+                seen.clear()
+            keys, new, filled = [], {}, []
             for t in b.column("text"):
                 text = t.as_py() or ""
-                key = md5(text.encode()).digest()
-                if key not in seen:
-                    if len(seen) > KEPT:
-                        seen.clear()
-                    seen[key] = voter.score(*vectors.of(text), bool(_TERM.search(text)))
-                out.append(seen[key])
+                keys.append(md5(text.encode()).digest())
+                if keys[-1] not in seen and keys[-1] not in new:
+                    words = terms_of(text)
+                    new[keys[-1]] = vectors.of(words)
+                    filled.append(bool(words))
+            seen.update(zip(new, voter.scores(list(new.values()), filled), strict=True))
+            out = [seen[k] for k in keys]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
 
     return docs.mapInArrow(run, "doc_id bigint, held_out boolean, score double, evidence array<bigint>")
