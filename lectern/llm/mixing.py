@@ -82,17 +82,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return replicate(docs)
 
 
-#: Body over a relation {docs} with the columns of documents; it gives the operator's counts for rates up to ``MOST_RATE`` only.
+#: Body over a relation {docs} with the columns of documents: a Poisson count of any rate is the sum of those of equal parts of at most 16.
 SQL = """
 WITH n AS (SELECT source, count(*)::DOUBLE AS n, pow(count(*)::DOUBLE, 0.5) AS w FROM {docs} GROUP BY source),
 r AS (SELECT source, w / (SELECT sum(w) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
-u AS (SELECT d.*, rate - floor(greatest(rate, 16.0) - 16.0) AS lam, floor(greatest(rate, 16.0) - 16.0)::INT AS whole,
-        (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+p AS (SELECT d.*, greatest(ceil(rate / 16.0), 1)::INT AS parts, rate / greatest(ceil(rate / 16.0), 1) AS lam, '42:' || coalesce(doc_id::VARCHAR, '') AS ident
       FROM {docs} d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT u.* EXCLUDE (lam, whole, u), whole + len(list_filter(range(0, 80), lambda i: u >
-        list_sum(list_transform(range(0, i + 1), lambda j: exp(-lam + j * ln(lam) - lgamma(j + 1)))))) AS copies FROM u)
-SELECT k.* EXCLUDE (copies), replica::INT AS replica,
-       md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || replica::VARCHAR) AS shuffle_key
-FROM k, LATERAL (SELECT unnest(range(1, copies + 1)) AS replica)
+u AS (SELECT p.*, list_transform(range(0, parts), lambda j:
+        (('0x' || substr(md5(ident || CASE WHEN j = 0 THEN '' ELSE ':part:' || j::VARCHAR END), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS us,
+        list_transform(range(0, 80), lambda i: list_sum(list_transform(range(0, i + 1), lambda j: exp(-lam + j * ln(lam) - lgamma(j + 1))))) AS cdf FROM p),
+k AS (SELECT u.* EXCLUDE (parts, lam, ident, us, cdf), ident, list_sum(list_transform(us, lambda u: len(list_filter(cdf, lambda c: u > c)))) AS copies FROM u)
+SELECT k.* EXCLUDE (copies, ident), replica::INT AS replica, md5(ident || ':' || replica::VARCHAR) AS shuffle_key
+FROM k, LATERAL (SELECT unnest(range(1, copies::BIGINT + 1)) AS replica)
 """
 ORACLE = SQL.format(docs="documents")
