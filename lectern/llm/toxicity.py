@@ -29,6 +29,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,58 +91,61 @@ class BlockMaxIndex:
         self.columns[self.column[term[common]], example[common]] = weight[common]
         term, weight, example = term[~common], weight[~common], example[~common]
         order = np.argsort(term, kind="stable")
-        term, self.weight, self.example = term[order], weight[order], example[order]
-        at = self.example // block
+        term, self.weight, example = term[order], weight[order], example[order]
+        at, self.local = example // block, (example % block).astype(np.uint8 if block <= 256 else np.int32)
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (at[1:] != at[:-1])))) if len(term) else np.zeros(0, np.int64)
-        self.cell_start, self.cell_block = np.concatenate((first, [len(term)])), at[first]
-        self.cell_most = np.maximum.reduceat(self.weight, first) if len(term) else np.zeros(0)
-        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.cell_start, self.cell_block = np.concatenate((first, [len(term)])).astype(np.int32), at[first].astype(np.int32)
+        self.cell_most = np.nextafter(np.maximum.reduceat(self.weight, first).astype(np.float32), np.float32(2)) if len(term) else np.zeros(0, np.float32)
+        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, queries: list[Vector], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the numbers and cosines of the k nearest examples with cosine over 0."""
         out = []
         for a in range(0, len(queries), QUERIES):
-            part = queries[a : a + QUERIES]
-            own = np.zeros((len(part), len(self.columns)))
-            for i, (ks, xs) in enumerate(part):
-                at = self.column[ks]
-                own[i, at[at >= 0]] = xs[at >= 0]
-            begun = own @ self.columns
-            out += [self._search(*q, begun[i], k, without[a + i] if without else -1) for i, q in enumerate(part)]
+            out += self._search(queries[a : a + QUERIES], k, without[a : a + QUERIES] if without else None)
         return out
 
-    def _search(self, ks: np.ndarray, xs: np.ndarray, begun: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
-        rare = self.column[ks] < 0
-        ks, xs = ks[rare], xs[rare]
+    def _search(self, queries: list[Vector], k: int, without: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        q, n = len(queries), self.blocks * self.block
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * q
+        ks, xs = np.concatenate([v[0] for v in queries]), np.concatenate([v[1] for v in queries])
+        owner = np.repeat(np.arange(q), [len(v[0]) for v in queries])
+        column = self.column[ks]
+        common = column >= 0
+        own = np.zeros((q, len(self.columns)))
+        own[owner[common], column[common]] = xs[common]
+        scores = own @ self.columns
+        ks, xs, owner = ks[~common], xs[~common], owner[~common]
         cell, of = _ranges(self.term_start[ks], self.term_start[ks + 1])
-        x, at = xs[of], self.cell_block[cell]
-        begun = begun.reshape(self.blocks, self.block)
-        bound = begun.max(1) + np.bincount(at, x * self.cell_most[cell], self.blocks) if self.blocks else np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, sims, least, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while done < len(order):
-            step = order[done : done + FIRST] if not done else order[done:]
-            done += len(step)
-            step = np.sort(step[bound[step] >= least - 1e-12])
-            if not len(step):
-                break
-            spot = np.full(self.blocks, -1, np.int64)
-            spot[step] = np.arange(len(step)) * self.block
-            on = np.flatnonzero(spot[at] >= 0)
-            read, of = _ranges(self.cell_start[cell[on]], self.cell_start[cell[on] + 1])
-            where = spot[at[on]][of] + self.example[read] % self.block
-            scores = begun[step].ravel() + np.bincount(where, x[on][of] * self.weight[read], len(step) * self.block)
-            hit = np.flatnonzero(scores >= max(least - 1e-12, 1e-300))
-            found = step[hit // self.block] * self.block + hit % self.block
-            scores = scores[hit]
-            if without >= 0:
-                found, scores = found[found != without], scores[found != without]
-            ids, sims = np.concatenate([ids, found]), np.concatenate([sims, scores])
-            top = np.lexsort((ids, -np.round(sims, 12)))[:k]
-            ids, sims = ids[top], sims[top]
-            least = sims[-1] if len(sims) == k else 0.0
-        return ids, sims
+        x, at = xs[of], owner[of] * self.blocks + self.cell_block[cell]
+        bound = scores.reshape(q, self.blocks, self.block).max(2) + np.bincount(at, x * self.cell_most[cell], q * self.blocks).reshape(q, self.blocks)
+
+        def read(blocks: np.ndarray) -> None:
+            on = np.flatnonzero(blocks.ravel()[at])
+            spot, of = _ranges(self.cell_start[cell[on]], self.cell_start[cell[on] + 1])
+            where = (at[on] * self.block)[of] + self.local[spot]
+            np.add(scores, np.bincount(where, x[on][of] * self.weight[spot], q * n).reshape(q, n), out=scores)
+
+        def best(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Scores in these blocks (others 0), and the k-th best of each query."""
+            seen = np.where(np.repeat(blocks, self.block, 1), scores, 0.0)
+            if without:
+                seen[np.arange(q), without] = 0.0
+            return seen, np.maximum(np.partition(seen, n - k, 1)[:, n - k] if n >= k else 0.0, 0.0) * np.ones(q)
+
+        begun = np.zeros((q, self.blocks), bool)
+        np.put_along_axis(begun, np.argpartition(-bound, min(FIRST, self.blocks) - 1, 1)[:, :FIRST], True, 1)
+        read(begun)
+        more = (bound >= best(begun)[1][:, None] - 1e-12) & (bound > 0) & ~begun
+        read(more)
+        seen, least = best(begun | more)
+        out = []
+        for row, mark in zip(seen, least, strict=True):
+            ids = np.flatnonzero(row >= max(mark - 1e-12, 1e-300))
+            ids = ids[np.lexsort((ids, -np.round(row[ids], 12)))[:k]]
+            out.append((ids, row[ids]))
+        return out
 
 
 class Voter:
@@ -183,11 +187,20 @@ class Voter:
         return out
 
 
+def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, th and the distinct terms of the text, pressed; null without any."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        found = [sorted(set(terms_of(t.as_py()))) for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press(" ".join(f).encode()) if f else None for f in found], pa.binary())], names=["doc_id", "th", "terms"])
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor().decompress
     for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         all_, bad = Counter(), Counter()
         for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            own = set(terms_of(t.as_py()))
+            own = open_(t.as_py()).decode().split(" ")
             all_.update(own)
             if y:
                 bad.update(own)
@@ -195,11 +208,6 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([all_[w] for w in names], pa.int64()), pa.array([bad[w] for w in names], pa.int64())], names=["term", "n", "bad"])
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bool(terms_of(t.as_py())) for t in b.column(2)], pa.bool_())], names=["doc_id", "th", "filled"])
-
-
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column(0) for w in terms_of(t.as_py())}), pa.string())], names=["term"])
@@ -207,7 +215,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def weigh_terms(labelled: DataFrame, examples: DataFrame, n: int, bad: int) -> Vectors:
     """The vectors over all terms of the examples; frequencies are those in all labelled documents."""
-    counts = labelled.select("y", "text").mapInArrow(_term_counts, "term string, n bigint, bad bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = labelled.where("terms is not null").select("y", "terms").mapInArrow(_term_counts, "term string, n bigint, bad bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     own = examples.select("text").mapInArrow(_terms, "term string").distinct()
     found = counts.join(own, "term").orderBy("term").toPandas()
     share, all_, in_bad = bad / n, found["n"].to_numpy(float), found["bad"].to_numpy(float)
@@ -220,20 +228,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Vec
     """Vectors and voter from ``docs`` (doc_id, text) and ``labels`` (doc_id, y)."""
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     docs = docs.where("doc_id is not null").withColumn("th", F.xxhash64("text"))
-    marked = docs.select("doc_id", "th", "text").mapInArrow(_filled, "doc_id bigint, th bigint, filled boolean")
+    marked = docs.select("doc_id", "th", "text").mapInArrow(_distinct_terms, "doc_id bigint, th bigint, terms binary")
     rows = materialize(marked.join(known.hint("merge"), "doc_id"), "op10-rows")  # labels have no bound: never broadcast
-    n, bad, n_none, bad_none = (int(x or 0) for x in rows.agg(F.count("*"), F.sum("y"), F.count_if(~F.col("filled")), F.sum(F.when(~F.col("filled"), F.col("y")))).first())
+    n, bad, n_none, bad_none = (int(x or 0) for x in rows.agg(F.count("*"), F.sum("y"), F.count_if(F.col("terms").isNull()), F.sum(F.when(F.col("terms").isNull(), F.col("y")))).first())
     base = bad / n if n else 0.5
     empty = (bad_none + base) / (n_none + 1)
     if not 0 < bad < n:
         return Vectors({}, np.zeros(0)), Voter([], [], [], 1, base, empty)
     first = [F.xxhash64("doc_id"), "doc_id", "th"]
-    keys = [rows.where(F.col("filled") & (F.col("y") == y)).orderBy(*first).limit(sample).select("doc_id", "th", "y") for y in (0, 1)]
+    keys = [rows.where(F.col("terms").isNotNull() & (F.col("y") == y)).orderBy(*first).limit(sample).select("doc_id", "th", "y") for y in (0, 1)]
     keys = materialize(keys[0].union(keys[1]).distinct(), "op10-keys")  # at most 2 * sample rows: broadcast, so only their texts are moved
     found = docs.join(F.broadcast(keys), ["doc_id", "th"])
     examples = [found.where(F.col("y") == y).orderBy(*first).limit(sample).select("doc_id", "th", "y", "text") for y in (0, 1)]
     examples = materialize(examples[0].union(examples[1]), "op10-examples")
-    vectors = weigh_terms(docs.join(known.hint("merge"), "doc_id"), examples, n, bad)
+    vectors = weigh_terms(rows, examples, n, bad)
     picked = [(r.doc_id, r.y, vectors.of(terms_of(r.text))) for r in examples.orderBy("y", *first).toLocalIterator()]
     return vectors, Voter([v for *_, v in picked], [y for _, y, _ in picked], [i for i, *_ in picked], len(vectors.vocabulary), base, empty)
 
