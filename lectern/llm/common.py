@@ -9,6 +9,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
 #: Bytes that separate words: space and \t \n \v \f \r. ``bytes.split()`` splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 _RUNS = re.compile(r"[^\W\d_]+")  # letters, and numbers such as fractions
@@ -26,7 +28,8 @@ def letter_runs(text: str) -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if name == "documents" else df
 
 
 def shared_dir(spark: SparkSession) -> str:

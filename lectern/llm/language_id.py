@@ -4,12 +4,13 @@ Every language has a probability for each piece of a fixed public vocabulary. A
 case, with the vocabulary's word mark before it) has as its probability the sum over all its segmentations
 into pieces of the product of their probabilities, found by a forward pass. The probabilities come from
 ``ROUNDS`` rounds of expectation-maximisation over the counts of all words of all training documents: a
-forward-backward pass gives each piece's expected count. Characters outside the vocabulary are pieces of
-their own with a fixed small probability. Words of over ``LONG`` characters are cut into parts of that length.
+forward-backward pass gives each piece's expected count. Characters outside the vocabulary are spelled by its byte pieces, whose
+probabilities are learned like all others. Words of up to ``LONG`` characters in the vocabulary are summed side by side,
+others one by one in logarithms; both sum all segmentations of the whole word.
 
 The text's language is the one with the highest total log-probability (the first by name of equals) and the
 score is its share against all languages at equal priors. Training counts (language, word) are summed partly
-before the shuffle; what reaches the driver is one number for each language and piece.
+before the shuffle and dealt out evenly for the rounds; what reaches the driver is one number for each language and piece.
 
 Defined results: ``und`` with score 0 for null, empty and letterless texts, and for all texts if nothing
 can be learned. A null language teaches nothing. A null id counts as an empty id. Rows that repeat
@@ -18,10 +19,9 @@ an id give a row each. An empty table gives an empty result. Other columns are n
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,27 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, table
+from .common import crc_mod, letter_runs, materialize, shuffle_partitions, table
 
 VOCABULARY, ROUNDS, LONG, SMOOTH = "piece_bpe_32k.model", 3, 32, 0.1
-#: log-probability of a character outside the vocabulary.
-OUTSIDE = -14.0
 #: Distinct words that a task keeps scored.
 KEPT = 400_000
 #: Documents whose words are held at once.
 ROWS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
-
-
-def _parts(word: str) -> list[str]:
-    word = _MARK + word
-    return [word] if len(word) <= LONG else [word[k : k + LONG] for k in range(0, len(word), LONG)]
+    return letter_runs((text or "").lower())
 
 
 def _scramble(codes: np.ndarray) -> np.ndarray:
@@ -58,12 +50,14 @@ def _scramble(codes: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The vocabulary's pieces behind a hash of their code points: ids of many substrings at once."""
+    """The vocabulary's pieces behind a hash of their code points: ids of many substrings at once. Byte pieces have the 256 ids after the names."""
 
     def __init__(self, names: list[str]):
         self.names = names
-        self.longest = min(LONG, max(map(len, names)))
-        self.powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(LONG + 1, _BASE))))
+        self.size = len(names) + 256
+        self.letters = {name for name in names if len(name) == 1}
+        self.longest = max(map(len, names))
+        self.powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(LONG, self.longest) + 1, _BASE))))
         hashes = np.zeros(len(names), np.uint64)
         for k, name in enumerate(names):
             h = 0
@@ -87,8 +81,11 @@ class Pieces:
             out[hit] = self.ids[near[hit]]
         return out
 
+    def plain(self, word: str) -> bool:
+        return len(word) <= LONG and self.letters.issuperset(word)
+
     def segments(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list]]:
-        """For the words of each length: their indexes, the length and [(start, end, rows, piece ids)]; id -1 is a lone unknown character."""
+        """For plain words, by length: their indexes, the length and [(start, end, rows, piece ids)]."""
         sizes = np.array([len(w) for w in words])
         for n in np.unique(sizes):
             for rows in np.array_split(which := np.flatnonzero(sizes == n), max(1, len(which) * int(n) // 150_000)):
@@ -101,11 +98,24 @@ class Pieces:
                 for i in range(n):
                     for j in range(i + 1, min(n, i + self.longest) + 1):
                         ids = self.find(prefix[j] - prefix[i] * self.powers[j - i])
-                        hit = np.flatnonzero(ids >= 0) if j > i + 1 else np.arange(len(rows))
+                        hit = np.flatnonzero(ids >= 0)
                         if len(hit):
                             arcs.append((i, j, hit, ids[hit]))
                 yield rows, int(n), arcs
 
+    def lattice(self, word: str) -> Iterator[list[tuple[int, list[int]]]]:
+        """For each place from 1 on, the pieces that end there: (start, ids); a character outside the vocabulary is its byte pieces."""
+        known, longest = self.numbers, self.longest
+        for j in range(1, len(word) + 1):
+            own = [(i, [k]) for i in range(max(0, j - longest), j) if (k := known.get(word[i:j])) is not None]
+            if word[j - 1] not in self.letters:
+                own.append((j - 1, [len(self.names) + b for b in word[j - 1].encode("utf-8", "replace")]))
+            yield own
+
+    @cached_property
+    def numbers(self) -> dict[str, int]:
+        return {name: k for k, name in enumerate(self.names)}
+
 
 @lru_cache(2)
 def pieces(vocabulary: str) -> Pieces:
@@ -116,56 +126,93 @@ def pieces(vocabulary: str) -> Pieces:
     return Pieces([model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))])
 
 
+def _sorted_out(words: list[str], known: Pieces) -> tuple[list[int], list[int]]:
+    """The numbers of plain words and of others."""
+    plain = [known.plain(w) for w in words]
+    return [k for k, p in enumerate(plain) if p], [k for k, p in enumerate(plain) if not p]
+
+
+def _forward(word: str, known: Pieces, logp: np.ndarray) -> Iterator[tuple[np.ndarray, list]]:
+    """For each place from 1 on, the logarithm of the sum over all segmentations up to there, by language, and the pieces that end there."""
+    alpha = [np.zeros(logp.shape[1])]  # of the last places that a piece can start at
+    for j, own in enumerate(known.lattice(word), 1):
+        x = np.stack([alpha[i - j] + logp[ids].sum(0) for i, ids in own])
+        top = x.max(0)
+        alpha.append(top + np.log(np.exp(x - top).sum(0)))
+        yield alpha[-1], own
+        del alpha[: -known.longest]
+
+
 def score_words(words: list[str], logp: np.ndarray, vocabulary: str = VOCABULARY) -> np.ndarray:
     """log-probability of each word, summed over its segmentations, in each language. logp: pieces x languages."""
-    probs = np.vstack([np.exp(logp), np.full((1, logp.shape[1]), np.exp(OUTSIDE))])
+    known, probs = pieces(vocabulary), np.exp(logp)
     out = np.zeros((len(words), logp.shape[1]))
-    for rows, n, arcs in pieces(vocabulary).segments(words):
+    plain, others = _sorted_out(words, known)
+    for rows, n, arcs in known.segments([words[k] for k in plain]):
         alpha = np.zeros((n + 1, len(rows), logp.shape[1]))
         alpha[0] = 1
         for i, j, hit, ids in arcs:
             alpha[j, hit] += alpha[i, hit] * probs[ids]
-        out[rows] = np.log(np.maximum(alpha[n], 1e-300))
+        out[np.array(plain)[rows]] = np.log(np.maximum(alpha[n], 1e-300))
+    for k in others:
+        for alpha, _ in _forward(words[k], known, logp):
+            out[k] = alpha
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, logp: np.ndarray, vocabulary: str = VOCABULARY) -> np.ndarray:
     """Expected number of uses of each piece in words of one language."""
-    probs = np.append(np.exp(logp), np.exp(OUTSIDE))
+    known, probs = pieces(vocabulary), np.exp(logp)
     total = np.zeros(len(probs))
-    for rows, n, arcs in pieces(vocabulary).segments(words):
+    plain, others = _sorted_out(words, known)
+    some = counts[plain]
+    for rows, n, arcs in known.segments([words[k] for k in plain]):
         alpha, beta = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
         alpha[0] = beta[n] = 1
         for i, j, hit, ids in arcs:
             alpha[j, hit] += alpha[i, hit] * probs[ids]
         for i, j, hit, ids in reversed(arcs):
             beta[i, hit] += beta[j, hit] * probs[ids]
-        weight = counts[rows] / np.maximum(alpha[n], 1e-300)
+        weight = some[rows] / np.maximum(alpha[n], 1e-300)
         for i, j, hit, ids in arcs:
-            total += np.bincount(ids % len(probs), alpha[i, hit] * probs[ids] * beta[j, hit] * weight[hit], len(probs))
-    return total[:-1]
+            total += np.bincount(ids, alpha[i, hit] * probs[ids] * beta[j, hit] * weight[hit], len(probs))
+    for k in others:
+        met = [(np.zeros(1), []), *_forward(words[k], known, logp[:, None])]
+        alpha = np.array([float(a[0]) for a, _ in met])
+        beta = np.full(len(alpha), -np.inf)
+        beta[-1] = 0.0
+        for j in range(len(met) - 1, 0, -1):
+            for i, ids in met[j][1]:
+                step = logp[ids].sum()
+                beta[i] = np.logaddexp(beta[i], beta[j] + step)
+                np.add.at(total, ids, counts[k] * np.exp(alpha[i] + step + beta[j] - alpha[-1]))
+    return total
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found: dict[str, Counter] = {}
+    found: dict[str, Counter] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, counter in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), pa.array([_MARK + w for w in counter], pa.string()), pa.array(list(counter.values()), pa.int64())], names=["lang", "word", "n"])
+        found.clear()
+
+    for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             found.setdefault(lang, Counter()).update(words_of(text.as_py()))
-        for lang, counter in found.items():
-            parts: Counter = Counter()
-            for w, n in counter.items():
-                for p in _parts(w):
-                    parts[p] += n
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())], names=["lang", "word", "n"])
+        if sum(map(len, found.values())) > KEPT:
+            yield from rows()
+    yield from rows()
 
 
 def fit(training: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order of name and the pieces' log-probabilities (pieces x languages)."""
     spark = training.sparkSession
     training = training.where("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = materialize(training.mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "op5-words")
+    counts = training.mapInArrow(_count, "lang string, word string, n bigint").repartition(shuffle_partitions(spark), "lang", "word")
+    counts = materialize(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "op5-words")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    size = len(pieces(vocabulary).names)
+    size = pieces(vocabulary).size
     logp = np.full((size, len(langs)), -np.log(size))
     for _ in range(rounds if langs else 0):
         sent = spark.sparkContext.broadcast(logp)
@@ -200,10 +247,8 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, vocabulary: str
             if len(known) > KEPT:
                 known, scores = {}, np.zeros((0, len(langs)))
             new = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in known]
-            cut = [_parts(w) for w in new]
             if new:
-                each = score_words([p for ps in cut for p in ps], logp, vocabulary)
-                scores = np.vstack([scores, np.add.reduceat(each, np.cumsum([0, *map(len, cut)])[:-1])])
+                scores = np.vstack([scores, score_words([_MARK + w for w in new], logp, vocabulary)])
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             names, values = [], []
             for ws in found:

@@ -5,8 +5,8 @@ embeddings of hashed words and of word shapes, joined to a few ratios (repeats,
 a tanh layer. Gated attention (tanh times sigmoid) gives each passage a weight, the weights sum to 1, and the
 weighted passage representation is scored by a logistic unit. All of it is learned together from document labels only.
 
-Training takes a bounded sample of labelled documents (``SAMPLE`` documents, the first by hash of the id, ``BAG``
-evenly spaced passages of each); the bounds are parameters. Scoring covers every passage of every document and
+Training takes a bounded sample of labelled documents, all passages of each: ``SAMPLE`` rows, the first by hash of id and text, of texts of up to
+``SAMPLE_BYTES``; the bounds are parameters. Scoring covers every passage of every document and
 handles one document at a time in blocks of passages, so memory doesn't grow with a text.
 
 Defined results: null, empty and wordless texts are a bag of one empty passage and get its score. Labels that
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table
 
-SAMPLE, BAG, WORDS = 6000, 24, 100
+SAMPLE, SAMPLE_BYTES, WORDS = 6000, 1 << 18, 100
 LEXICAL, SHAPES, D, H, A, RATIOS = 1 << 14, 1 << 10, 12, 16, 8, 6
 EPOCHS, BATCH, RATE, SEED, THRESHOLD = 10, 64, 0.01, 7, 0.3
 #: Words whose codes a task keeps.
@@ -60,14 +60,9 @@ def encode(text: str | None, codes: Codes) -> np.ndarray:
     return np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
 
 
-def passages(words: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The codes and the start of each passage; with ``most``, of so many evenly spaced passages."""
-    starts = np.arange(0, max(len(words), 1), WORDS)
-    if most and len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).round().astype(int)]
-        words = np.concatenate([words[s : s + WORDS] for s in starts])
-        starts = np.arange(len(starts)) * WORDS
-    return words, starts
+def passages(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes and the start of each passage."""
+    return words, np.arange(0, max(len(words), 1), WORDS)
 
 
 def _ratios(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -195,20 +190,22 @@ class Attention:
         return out
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list, np.ndarray]:
-    """The bounded sample: passages and labels of ``sample`` documents, first by hash of the id."""
-    known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def training_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[list, np.ndarray]:
+    """The bounded sample: passages and labels of ``sample`` rows, first by hash of id and text."""
+    known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("double").alias("y"))
+    order = [F.xxhash64("doc_id", "th"), "doc_id", "th"]
+    marked = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= sample_bytes).withColumn("th", F.xxhash64("text"))
+    keys = marked.select("doc_id", "th").join(known, "doc_id").orderBy(*order).limit(sample).distinct()
+    chosen = marked.join(F.broadcast(keys), ["doc_id", "th"]).orderBy(*order).limit(sample)  # repeated rows count each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for b in batches:
-            bags = [passages(encode(t.as_py(), codes), BAG) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w.tobytes() for w, _ in bags], pa.binary()), pa.array([s.astype(np.int32).tobytes() for _, s in bags], pa.binary())], names=["doc_id", "y", "words", "starts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([encode(t.as_py(), codes).tobytes() for t in b.column(2)], pa.binary())], names=["doc_id", "y", "words"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("y").cast("double").alias("y"), "text").mapInArrow(run, "doc_id bigint, y double, words binary, starts binary")
+    rows = chosen.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y double, words binary")
     rows = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words))
-    return [(np.frombuffer(r.words, np.int32), np.frombuffer(r.starts, np.int32).astype(np.int64)) for r in rows], np.array([r.y for r in rows])
+    return [passages(np.frombuffer(r.words, np.int32)) for r in rows], np.array([r.y for r in rows])
 
 
 def score_documents(docs: DataFrame, bags: list, labels: np.ndarray) -> DataFrame:

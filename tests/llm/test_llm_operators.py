@@ -452,23 +452,45 @@ def test_multikey_quicksort():
 def test_forward_sums_all_segmentations():
     r = np.random.default_rng(0)
     p = language_id.pieces(language_id.VOCABULARY)
-    logp = np.log(r.dirichlet(np.ones(len(p.names)), 2).T)
+    logp = np.log(r.dirichlet(np.ones(p.size), 2).T)
     at = {name: k for k, name in enumerate(p.names)}
-    words = ["▁the", "▁tion", "▁éx", "☃a"]
+    words = ["▁the", "▁tion", "▁éx", "ກa", "aກa"]
 
-    def total(word, lang):
-        out = 0.0
+    def ways(word):
         for cuts in itertools.product([0, 1], repeat=len(word) - 1):
             edges = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(word)]
             parts = [word[a:b] for a, b in itertools.pairwise(edges)]
             if all(x in at or len(x) == 1 for x in parts):
-                out += math.prod(math.exp(logp[at[x], lang] if x in at else language_id.OUTSIDE) for x in parts)
-        return math.log(out)
+                yield [k for x in parts for k in ([at[x]] if x in at else [len(p.names) + c for c in x.encode()])]
 
+    weight = lambda way, lang: math.exp(sum(logp[k, lang] for k in way))
     got = language_id.score_words(words, logp)
-    assert np.allclose(got, [[total(w, k) for k in range(2)] for w in words])
-    use = language_id.expected_counts(["▁the"], np.array([3.0]), logp[:, 0])
-    assert sum(n * len(p.names[k]) for k, n in enumerate(use) if n) == pytest.approx(3 * 4)
+    assert np.allclose(got, [[math.log(sum(weight(y, k) for y in ways(w))) for k in range(2)] for w in words])
+    for word in ("▁the", "aກa"):
+        use, want = language_id.expected_counts([word], np.array([3.0]), logp[:, 0]), np.zeros(p.size)
+        for y in ways(word):
+            np.add.at(want, y, 3 * weight(y, 0) / sum(weight(z, 0) for z in ways(word)))
+        assert np.allclose(use, want)
+
+
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    """One by one in logarithms, and side by side, words score alike; a long word isn't cut."""
+    r = np.random.default_rng(1)
+    p = language_id.pieces(language_id.VOCABULARY)
+    logp = np.log(r.dirichlet(np.ones(p.size), 2).T)
+    words = ["▁internationalisation", "▁abab", "▁" + "tion" * 7]
+    side = language_id.score_words(words, logp)
+    counts = language_id.expected_counts(words, np.ones(3), logp[:, 1])
+    monkeypatch.setattr(language_id, "LONG", 2)
+    assert np.allclose(language_id.score_words(words, logp), side)
+    assert np.allclose(language_id.expected_counts(words, np.ones(3), logp[:, 1]), counts)
+    assert np.isfinite(language_id.score_words(["▁" + "x" * 3000], logp)).all()
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    docs = spark.createDataFrame([(k, prose(k, 30), "en" if k % 2 else "de", False) for k in range(8)] + [(20, "½ ² Ⅷ 12 _", "en", True), (21, "ab½", None, True)], "doc_id bigint, text string, lang string, held_out boolean")
+    got = {x.doc_id: x for x in language_id.predict(docs.drop("lang"), *language_id.fit(docs.where("not held_out"))).collect()}
+    assert (got[20].lang_pred, got[20].score) == ("und", 0.0) and got[21].lang_pred in ("en", "de")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
