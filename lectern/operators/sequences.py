@@ -25,26 +25,35 @@ def top_facets(counts: DataFrame, keep: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
-def held(rows: DataFrame, owner: str, item: str, ids: list[str]) -> DataFrame:
-    """(owner, have): which of the distinct ids an owner holds."""
-    return rows.where(F.col(item).isin(*ids)).groupBy(owner).agg(F.sort_array(F.collect_set(item)).alias("have"))
+def _wanted(rows: DataFrame, item: str, ids: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The rows with one of the ids (None: with any), and one row with the number of the ids."""
+    if ids is not None:
+        return rows.where(F.col(item).isin(*ids)), rows.sparkSession.createDataFrame([(len(set(ids)),)], "n_ids bigint")
+    rows = rows.where(F.col(item).isNotNull())
+    return rows, rows.agg(F.count_distinct(item).alias("n_ids"))
 
 
-def full_runs(rows: DataFrame, owner: str, item: str, ids: list[str]) -> DataFrame:
-    """Owners that hold every id (relational division); repeated ids count once."""
-    return rows.where(F.col(item).isin(*ids)).groupBy(owner).agg(F.count_distinct(item).alias("n")).where(F.col("n") == len(set(ids))).select(owner)
+def full_runs(rows: DataFrame, owner: str, item: str, ids: list[str] | None = None) -> DataFrame:
+    """Owners that hold every id, or every item there is (relational division); repeated ids count once."""
+    own, n = _wanted(rows, item, ids)
+    return own.groupBy(owner).agg(F.count_distinct(item).alias("n")).join(F.broadcast(n)).where(F.col("n") == F.col("n_ids")).select(owner)
 
 
-def held_histogram(rows: DataFrame, owner: str, item: str, ids: list[str]) -> DataFrame:
+def held_histogram(rows: DataFrame, owner: str, item: str, ids: list[str] | None = None) -> DataFrame:
     """(n_held, owners): how many owners hold how many of the ids."""
-    per = rows.where(F.col(item).isin(*ids)).groupBy(owner).agg(F.count_distinct(item).alias("n_held"))
+    per = _wanted(rows, item, ids)[0].groupBy(owner).agg(F.count_distinct(item).alias("n_held"))
     return per.groupBy("n_held").agg(F.count("*").alias("owners"))
 
 
-def missing(rows: DataFrame, owner: str, item: str, ids: list[str]) -> DataFrame:
-    """(item, owners): what owners that lack one id at most lack."""
-    lacking = held(rows, owner, item, ids).where(F.size("have") >= len(set(ids)) - 1).select(F.explode(F.array_except(F.array(*map(F.lit, sorted(set(ids)))), F.col("have"))).alias(item))
-    return lacking.groupBy(item).agg(F.count("*").alias("owners"))
+def missing(rows: DataFrame, owner: str, item: str, ids: list[str] | None = None) -> DataFrame:
+    """(item, owners): what owners that lack one id at most lack. An item is lacked by all such owners less those that hold it."""
+    own, n = _wanted(rows, item, ids)
+    own = own.select(owner, item).distinct()
+    close = own.groupBy(owner).agg(F.count("*").alias("k")).join(F.broadcast(n)).where(F.col("k") >= F.col("n_ids") - 1).select(owner)
+    every = own.select(item).distinct() if ids is None else rows.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], [item])
+    holding = own.join(close, owner).groupBy(item).agg(F.count("*").alias("holding"))
+    out = every.join(holding, item, "left").join(F.broadcast(close.agg(F.count("*").alias("all"))))
+    return out.select(item, (F.col("all") - F.coalesce("holding", F.lit(0))).alias("owners")).where("owners > 0")
 
 
 def successors(rows: DataFrame, owner: str, item: str, order: list[str]) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, records, text
-from ..operators import images, ledger, noisy, reporting, retrieval, sequences
-from ..sources import responses
+from ..operators import images, ledger, noisy, order, reporting, retrieval, sequences
+from ..sources import files, responses
 
 QUERIES: dict = {}
+#: Tables whose rows take long to work through.
+TEXTS = ("documents", "pages")
 ORACLES: dict = {}
 
 
@@ -25,7 +27,8 @@ def query(oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return files.spread(df) if name in TEXTS and {"text", "html"} & set(df.columns) else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +197,13 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Noisy search
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
 @query(f"WITH {FREQ} SELECT letters, n FROM f")
 def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return noisy.frequencies(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return noisy.frequencies(_documents(spark, sf_dir))
 
 
 @query(f"WITH {FREQ} SELECT letters, n, ln(((SELECT sum(n) FROM f) + 1) / (n + 1)) / ln((SELECT sum(n) FROM f)) AS weight FROM f")
@@ -213,16 +220,21 @@ def searchable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query_words(spark, sf_dir).select("item_id", F.col("pos").cast("bigint").alias("pos"), "letters", "n", "weight")
 
 
+def _without_one(c: str) -> str:
+    return f"unnest(list_prepend({c}, list_transform(range(1, length({c}) + 1), lambda i: left({c}, i - 1) || substr({c}, i + 1))))"
+
+
 @query(
     f"""WITH {QWORDS}, v AS (SELECT DISTINCT letters FROM r WHERE length(letters) >= 4), w AS (SELECT DISTINCT letters AS word FROM q),
 e AS (SELECT letters, word, 'exact' AS kind FROM v JOIN w ON letters = word),
-n1 AS (SELECT letters, word, 'near' AS kind FROM v JOIN w ON letters <> word AND length(letters) >= 5 AND length(word) >= 6 AND abs(length(letters) - length(word)) <= 1 AND levenshtein(letters, word) = 1)
+kv AS (SELECT letters, {_without_one('letters')} AS key FROM v WHERE length(letters) >= 5), kw AS (SELECT word, {_without_one('word')} AS key FROM w WHERE length(word) >= 6),
+n1 AS (SELECT DISTINCT letters, word, 'near' AS kind FROM kv JOIN kw USING (key) WHERE levenshtein(letters, word) = 1)
 SELECT * FROM e UNION ALL SELECT * FROM n1 WHERE letters NOT IN (SELECT letters FROM e)"""
 )
 def one_letter_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = noisy.raw_tokens(table(spark, sf_dir, "documents", "doc_id", "text")).select("token").distinct()
-    vocabulary = tokens.withColumn("r", text.reduced("token")).select("r.letters").distinct().withColumn("short", F.lit(False))
-    return noisy.word_matches(_query_words(spark, sf_dir).withColumnRenamed("letters", "word"), vocabulary).select("letters", "word", "kind")
+    """Words of the corpus for words of the items, as if no token were abbreviated."""
+    reduced = noisy.vocabulary(_documents(spark, sf_dir)).select("letters").distinct().withColumn("short", F.lit(False))
+    return noisy.word_matches(noisy.small(_query_words(spark, sf_dir).select(F.col("letters").alias("word")).distinct()), reduced).select("letters", "word", "kind")
 
 
 @query(
@@ -232,19 +244,19 @@ SELECT head, word FROM h WHERE head IN (SELECT head FROM use) AND coalesce((SELE
 )
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefixes that may stand for query words: not common words themselves, and of few places."""
-    q, freq = _query_words(spark, sf_dir), token_frequencies(spark, sf_dir)
-    heads = q.select("item_id", "pos", F.col("letters").alias("word"), "t", F.explode(text.prefixes(F.col("letters"))).alias("head"))
-    few = heads.groupBy("head").agg(F.count("*").alias("k"), F.first("t").alias("t")).where(F.col("k") < noisy.MOST_POSITIONS)
-    few = few.join(freq.select(F.col("letters").alias("head"), "n"), "head", "left").where(F.coalesce("n", F.lit(0)) / F.col("t") < noisy.MAX_RATE)
-    return heads.select("head", "word").distinct().join(few.select("head"), "head")
+    return noisy.heads(noisy.small(_query_words(spark, sf_dir)), token_frequencies(spark, sf_dir))
 
 
-HITS = f"{QWORDS}, h AS (SELECT r.doc_id, r.ti, q.item_id, q.pos, q.weight AS value FROM r JOIN q USING (letters))"
+#: Hits with the characters that they start and end at: a token's place is the length of all before it, separators included.
+HITS = f"""{QWORDS}, pieces AS (SELECT doc_id, unnest(range(len(w)))::BIGINT AS ti, unnest(w) AS piece FROM (SELECT doc_id, regexp_extract_all(text, '(?s).*?{_TOKEN}') AS w FROM documents)),
+ends AS (SELECT doc_id, ti, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY ti) AS stop FROM pieces),
+h AS (SELECT r.doc_id, r.ti, q.item_id, q.pos, q.weight AS value, (stop - length(t.token))::BIGINT AS start, stop::BIGINT AS stop
+      FROM r JOIN q USING (letters) JOIN t ON t.doc_id = r.doc_id AND t.ti = r.ti JOIN ends ON ends.doc_id = r.doc_id AND ends.ti = r.ti)"""
 
 
 def _exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = noisy.reduced_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return tokens.join(_query_words(spark, sf_dir), "letters").select("doc_id", "ti", "item_id", "pos", F.col("weight").alias("value"))
+    docs = _documents(spark, sf_dir)
+    return noisy.token_hits(docs, noisy.exact_places(noisy.vocabulary(docs), _query_words(spark, sf_dir)))
 
 
 @query(
@@ -255,42 +267,39 @@ def window_min_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy.windows(_exact_hits(spark, sf_dir)).withColumn("ti", F.col("ti").cast("bigint"))
 
 
+@query(f"WITH {HITS} SELECT doc_id, item_id, ti, pos, start, stop, substr(text, start + 1, stop - start) AS token FROM h JOIN documents USING (doc_id)")
+def hit_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with their characters, and the token that stands there."""
+    docs = _documents(spark, sf_dir)
+    out = _exact_hits(spark, sf_dir).join(docs, "doc_id")
+    return out.select("doc_id", "item_id", *(F.col(c).cast("bigint") for c in ("ti", "pos", "start")), F.col("end").cast("bigint").alias("stop"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("token"))
+
+
 @query()
 def ordered_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three kinds of match, chained: the best chain of each stretch, the best 15 of each item."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return noisy.stretch_dedupe(noisy.chains(noisy.token_hits(docs, _query_words(spark, sf_dir))))
+    docs = _documents(spark, sf_dir)
+    return noisy.stretch_dedupe(noisy.chains(docs, noisy.places(noisy.vocabulary(docs), _query_words(spark, sf_dir))))
 
 
 @query(
-    f"""WITH {HITS}, g AS (SELECT doc_id, item_id, ti // 2000 AS stretch, count(DISTINCT pos) AS score, min(ti) AS first FROM h GROUP BY 1, 2, 3)
+    f"""WITH {HITS}, g AS (SELECT doc_id, item_id, start // 2000 AS stretch, count(DISTINCT pos) AS score, min(start) AS first FROM h GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT item_id, doc_id, first, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, first) AS rank FROM g) WHERE rank <= 15"""
 )
 def stretch_dedupe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each stretch of 2,000 tokens, by distinct query places; the 15 best of each item."""
-    found = _exact_hits(spark, sf_dir).groupBy("doc_id", "item_id", F.floor(F.col("ti") / noisy.STRETCH).alias("s")).agg(F.count_distinct("pos").alias("score"), F.min("ti").alias("first"))
-    out = noisy.stretch_dedupe(found.withColumn("ti", F.col("first")))
-    return out.select("item_id", "doc_id", F.col("first").cast("bigint").alias("first"), "score", F.col("rank").cast("bigint").alias("rank"))
-
-
-@query(
-    f"""WITH {HITS}, g AS (SELECT item_id, doc_id, sum(value) AS score FROM (SELECT DISTINCT item_id, doc_id, pos, value FROM h) GROUP BY 1, 2),
-top AS (SELECT item_id, max(score) AS score FROM g GROUP BY 1), m AS (SELECT coalesce(median(score), 0) AS null_top FROM g)
-SELECT item_id, round(score, 9) AS score, round(null_top, 9) AS null_top, round(score - null_top, 9) AS margin FROM top, m"""
-)
-def null_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best weight of distinct places that an item reaches in one document, against the median over all documents and items."""
-    own = _exact_hits(spark, sf_dir).select("item_id", "doc_id", "pos", "value").distinct().groupBy("item_id", "doc_id").agg(F.sum("value").alias("score"))
-    top = own.groupBy("item_id").agg(F.max("score").alias("score"))
-    null = own.agg(F.coalesce(F.median("score"), F.lit(0.0)).alias("null_top"))
-    return top.join(F.broadcast(null)).select("item_id", *(F.round(c, 9).alias(n) for n, c in (("score", F.col("score")), ("null_top", F.col("null_top")), ("margin", F.col("score") - F.col("null_top")))))
+    """One row for each stretch of 2,000 characters, by distinct query places; the 15 best of each item."""
+    found = _exact_hits(spark, sf_dir).groupBy("doc_id", "item_id", F.floor(F.col("start") / noisy.STRETCH).alias("s")).agg(F.count_distinct("pos").alias("score"), F.min("start").alias("offset"))
+    out = noisy.stretch_dedupe(found.withColumn("ti", F.col("offset")))
+    return out.select("item_id", "doc_id", F.col("offset").cast("bigint").alias("first"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query()
 def shuffled_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chain scores against each item's words in a shuffled order."""
-    docs, bench, freq = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), token_frequencies(spark, sf_dir)
-    found = [noisy.stretch_dedupe(noisy.chains(noisy.token_hits(docs, noisy.query_words(q, freq)))) for q in (bench, noisy.shuffled(bench))]
+    """Chain scores against each item's words in a shuffled order; the corpus' words are counted once for both."""
+    docs, bench = _documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text")
+    known = noisy.vocabulary(docs)
+    freq = token_frequencies(spark, sf_dir)
+    found = [noisy.stretch_dedupe(noisy.chains(docs, noisy.places(known, noisy.query_words(q, freq)))) for q in (bench, noisy.shuffled(bench))]
     return noisy.margins(*found)
 
 
@@ -322,23 +331,23 @@ _RUN = ", ".join(f"'{x}'" for x in RUN)
 def full_run_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with every event type of the run that occurs at all."""
     rows = table(spark, sf_dir, "events", "user_id", "event_type").where(F.col("event_type").isin(*RUN))
-    return sequences.full_runs(rows, "user_id", "event_type", [r[0] for r in rows.select("event_type").distinct().collect()])
+    return sequences.full_runs(rows, "user_id", "event_type")
 
 
 @query("SELECT n_held, count(*) AS owners FROM (SELECT user_id, count(DISTINCT event_type) AS n_held FROM events WHERE event_type IS NOT NULL GROUP BY 1) GROUP BY 1")
 def held_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events", "user_id", "event_type").where("event_type is not null")
-    return sequences.held_histogram(rows, "user_id", "event_type", [r[0] for r in rows.select("event_type").distinct().collect()])
+    return sequences.held_histogram(table(spark, sf_dir, "events", "user_id", "event_type"), "user_id", "event_type")
 
 
 @query(
-    "WITH e AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL), k AS (SELECT DISTINCT event_type FROM e), "
-    "u AS (SELECT user_id FROM e GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM k) - 1) "
-    "SELECT event_type, count(*) AS owners FROM (SELECT user_id, event_type FROM u, k EXCEPT SELECT * FROM e) GROUP BY 1"
+    "WITH e AS (SELECT DISTINCT c_nationkey, c_mktsegment || ' ' || c_custkey % 40 AS kind FROM customer), k AS (SELECT DISTINCT kind FROM e), "
+    "u AS (SELECT c_nationkey FROM e GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM k) - 1) "
+    "SELECT kind, count(*) AS owners FROM (SELECT c_nationkey, kind FROM u, k EXCEPT SELECT * FROM e) GROUP BY 1"
 )
 def missing_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events", "user_id", "event_type").where("event_type is not null")
-    return sequences.missing(rows, "user_id", "event_type", [r[0] for r in rows.select("event_type").distinct().collect()])
+    """Kinds of customers that nations with all kinds but one lack."""
+    kind = F.concat_ws(" ", "c_mktsegment", F.col("c_custkey") % 40).alias("kind")
+    return sequences.missing(table(spark, sf_dir, "customer").select("c_nationkey", kind), "c_nationkey", "kind")
 
 
 @query("SELECT event_type, next, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL GROUP BY 1, 2")
@@ -455,15 +464,13 @@ def scope_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("id", "scope")
 
 
-@query("SELECT p_partkey, p_size * 100 / (p_size + 0.5) AS density, row_number() OVER (ORDER BY p_size * 100 / (p_size + 0.5) DESC NULLS LAST, p_partkey) AS rank FROM part")
+@query("SELECT p_partkey, density, row_number() OVER (ORDER BY density DESC NULLS LAST, p_partkey) AS rank FROM (SELECT p_partkey, round_even(p_size * 100 / (p_size + 0.5), 1) AS density FROM part)")
 def density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels for each millimetre of parts "s x s,5 mm" whose image is 100 s pixels; ranked over all parts by a sort that Spark ranges out."""
+    """Pixels for each millimetre of parts "s x s,5 mm" whose image is 100 s pixels; ranked over all parts in ranges."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("mm", records.millimetres(F.concat("p_size", F.lit(" x "), "p_size", F.lit(",5 mm"))))
     d = p.select("p_partkey", records.density(F.col("p_size") * 100, F.col("mm.long")).alias("density"))
-    per = d.groupBy("density").agg(F.count("*").alias("k"))  # as many rows as there are sizes
-    before = per.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.desc_nulls_last("density")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("density").alias("d"), "before")
-    own = F.row_number().over(Window.partitionBy("density").orderBy("p_partkey"))
-    return d.withColumn("own", own).join(before, F.col("density").eqNullSafe(F.col("d"))).select("p_partkey", "density", (F.col("before") + F.col("own")).alias("rank"))
+    down = d.withColumn("down", F.coalesce(-F.col("density"), F.lit(float("inf"))))
+    return order.numbered(down, "down", "rank", "p_partkey").select("p_partkey", "density", "rank")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size * 30 < 1200 THEN CASE WHEN p_size % 2 = 0 THEN 'SMALL; DESC' ELSE 'SMALL' END WHEN p_size % 2 = 0 THEN 'DESC' ELSE '' END AS flags FROM part")

@@ -16,6 +16,12 @@ READING = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores where its files make partitions for less than half of them: small files are one partition whatever there is to do with them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def exact_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, text): whole files, newlines as they are; bytes that aren't UTF-8 are an error."""
     files = spark.read.format("binaryFile").load(path)

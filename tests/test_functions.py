@@ -1,3 +1,5 @@
+import random
+import unicodedata
 from pyspark.sql import functions as F
 
 from lectern.functions import calendar, records, spans, text
@@ -18,8 +20,8 @@ def test_words_and_letters(spark):
     assert one(spark, text.deletions(F.lit("abb"))) == ["bb", "ab"]
     assert one(spark, text.deletions(F.lit(""))) == []
     assert one(spark, text.prefixes(F.lit("abcde"))) == ["abc", "abcd"]
-    assert text.letters_of("Vꝓꝯiũ") == ("uproconiu", True)
-    assert text.letters_of("Jesvs") == ("iesus", False)
+    assert one(spark, F.struct(text.letters(F.lit("Vꝓꝯiũ")), text.abbreviated(F.lit("Vꝓꝯiũ")))) == ("uproconiu", True)
+    assert one(spark, F.struct(text.letters(F.lit("Jesvs")), text.abbreviated(F.lit("Jesvs")))) == ("iesus", False)
     assert one(spark, text.occurrences(F.lit("a b a"), F.lit("a"))) == 2
 
 
@@ -63,6 +65,32 @@ def test_feasts(spark):
     assert got[rows[4]].status == "unknown weekday" and got[rows[4]].date is None
 
 
+def test_letters_against_decomposition(spark):
+    rng = random.Random(4)
+    pool = "abvjyzJV" + "".join(text.SIGNS) + "".join(text.PLAIN) + "éàüñçÉÜǖǟẽỹệſß" + "\u0303\u0305\u0328\uf1ac\ue5dc" + "ḱśłæǽøij"
+    words = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 8))) for _ in range(400)]
+
+    def plain(word):
+        out, sign = "", False
+        for c in unicodedata.normalize("NFD", word.lower()):
+            sign |= c in text.SIGNS or unicodedata.category(c) == "Mn" or "\ue000" <= c <= "\uf8ff"
+            out += text.SIGNS.get(c, text.PLAIN.get(c, c))
+        return "".join(c for c in out if "a" <= c <= "z"), sign
+
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.letters(F.col("w")), text.abbreviated(F.col("w")))
+    assert [tuple(r[1:]) for r in df.collect()] == [plain(w) for w in words]
+
+
+def test_easter_and_dates_against_published_values(spark):
+    rows = [(1446, False, (1446, 4, 17)), (1500, False, (1500, 4, 19)), (1601, True, (1601, 4, 22)), (1818, True, (1818, 3, 22)), (1943, True, (1943, 4, 25)), (1954, True, (1954, 4, 18)), (1981, True, (1981, 4, 19)), (2000, True, (2000, 4, 23)), (2049, True, (2049, 4, 18)), (2076, True, (2076, 4, 19))]
+    df = spark.createDataFrame([r[:2] for r in rows], "y bigint, g boolean")
+    got = df.select(calendar.date_of(calendar.easter_number(F.col("y"), F.col("g")), F.col("g")).alias("d")).collect()
+    assert [tuple(r.d) for r in got] == [r[2] for r in rows]
+    known = [(1582, 10, 4, False, 2299160), (1582, 10, 15, True, 2299161), (1066, 10, 14, False, 2110701), (2000, 1, 1, True, 2451545), (1200, 2, 29, False, 2159417)]
+    days = spark.createDataFrame(known, "y bigint, m bigint, d bigint, g boolean, n bigint")
+    assert all(r.n == r.got for r in days.withColumn("got", calendar.day_number(F.col("y"), F.col("m"), F.col("d"), F.col("g"))).collect())
+
+
 def test_near_words_are_verified(spark):
     query = spark.createDataFrame([("bcdefg",)], "word string")
     vocabulary = spark.createDataFrame([("abcdef", False), ("bcdxfg", False), ("bcdefg", False), ("bcd", True)], "letters string, short boolean")

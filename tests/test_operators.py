@@ -1,3 +1,4 @@
+import random
 import json
 
 import pytest
@@ -46,8 +47,6 @@ def test_containing_and_pages(spark, docs):
 
 def test_witness_beats_decoy_and_null(spark):
     words = [f"{c}{d}orbusque{c}" for c in "bcdfghklmn" for d in "aeio"]
-    import random
-
     mixed = words[:]
     random.Random(3).shuffle(mixed)
     filler = " ".join(f"lorem{k % 9} ipsum{k % 7}" for k in range(60_000))
@@ -55,9 +54,32 @@ def test_witness_beats_decoy_and_null(spark):
     corpus = spark.createDataFrame(rows, "doc_id bigint, text string")
     query = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
     freq = noisy.frequencies(corpus)
-    find = lambda q: noisy.stretch_dedupe(noisy.chains(noisy.token_hits(corpus, noisy.query_words(q, freq))))
+    known = noisy.vocabulary(corpus)
+    find = lambda q: noisy.stretch_dedupe(noisy.chains(corpus, noisy.places(known, noisy.query_words(q, freq))))
     got = noisy.margins(find(query), find(noisy.shuffled(query))).orderBy("rank").collect()
     assert got[0].doc_id == 1 and got[0].chain == 40 and got[0].margin > 3
+    best = noisy.excerpts(find(query).where("rank = 1"), corpus, around=5).first()
+    assert (best.offset, best.end, best.position) == (0, len(rows[0][1]), 0.0) and best.excerpt == rows[0][1]
+
+
+def test_items_that_are_not_usable_drop_out(spark):
+    corpus = spark.createDataFrame([(1, "quorumbus sanctorumque praeclara " * 3 + "lorem " * 200_000)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "sanctorumque praeclara", None), (2, "sanctorumque praeclara", False), (3, "praeclara", True), (4, "... 12", True)], "item_id bigint, text string, usable boolean")
+    assert {r.item_id for r in noisy.usable(items).collect()} == {1, 3}
+    assert {r.item_id for r in noisy.query_words(items, noisy.frequencies(corpus)).collect()} == {1, 3}
+
+
+def test_blocks_of_items_find_what_one_pass_finds(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bcdfgaeiou") for _ in range(8)) for _ in range(300)]
+    corpus = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(200))) for k in range(30)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, " ".join(rng.sample(words, 30))) for k in range(12)], "item_id bigint, text string")
+    query = items.select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "letters")).withColumns({"n": F.lit(1).cast("bigint"), "t": F.lit(10**6).cast("bigint"), "weight": F.lit(1.0)})
+    known = noisy.vocabulary(corpus)
+    find = lambda: sorted(map(tuple, noisy.chains(corpus, noisy.places(known, query)).collect()))
+    whole = find()
+    monkeypatch.setattr(noisy, "MOST_SENT", 40)
+    assert find() == whole and len(whole) > 50
 
 
 def test_sequences(spark):
