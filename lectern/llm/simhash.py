@@ -1,23 +1,20 @@
-"""Operator 6: SimHash near-duplicates: candidates from blocks of bits, filtered by distances to pivots.
+"""Operator 6: SimHash near-duplicates by tables of distances to pivots.
 
 Fingerprints: words of the lower-cased (A-Z) text, 3-word shingles with repeats, XXH64 with seed 42; a bit
 is 1 if set in over half the hashes. Fingerprints link at ``LIMIT`` (2) or fewer differing bits.
 
-Blocks and pivots. The distance of a fingerprint to a reference r is a coordinate, and two fingerprints within
-LIMIT differ by LIMIT at most in every coordinate. Two kinds of references are used:
-
-* 65 local ones, the zero word and each single bit. They are the reason, not computed: coordinate differences against the zero word give the
-  bits back, so the coordinates that belong to one block of bits are a join key: of ``BLOCKS`` (6) blocks at
-  most two hold a difference, so two linked fingerprints agree in all coordinates of some 4 blocks. Each
-  fingerprint goes to its 15 choices of 4 blocks.
-* ``PIVOTS`` (48) spread ones, fixed pseudo-random words. Inside a bucket rows are ordered by their first
-  coordinate (computed there, no table is kept), only rows within LIMIT in it are paired, a pair is discarded if its largest coordinate
-  difference is over LIMIT, and the survivors are verified by XOR and bit count.
-
-A bucket gives one row per fingerprint, the smallest one it reaches there, never its pairs. Buckets over
-``WIDE`` fingerprints are joined through midpoints instead: two words are within 2 bits exactly if they
-share a word within 1 bit of both, so the 23 words around each fingerprint's free bits stand for all pairs
-and the work stays linear. Copies collapse before: only distinct fingerprints enter. Links are closed by
+Pivots. A fingerprint's coordinates are its Hamming distances to ``PIVOTS`` (48) fixed references. They come in pairs that differ in one of
+``BLOCKS`` (6) blocks of bits, ``EACH`` (4) pairs for each block: half the difference of a pair's distances is the distance to the reference inside that block,
+so the table tells for each block how far a fingerprint is from four references there. Two fingerprints within LIMIT differ in two blocks at
+most and agree in these coordinates of four others. They meet in the bucket of these: a fingerprint goes to its 15 choices of 4 blocks, under
+the 16 coordinates of each choice. Inside a bucket rows are ordered by their first coordinate, only rows within LIMIT in it are paired, a pair is discarded
+if its largest coordinate difference is over LIMIT, and the survivors are verified by XOR and bit count. (Coordinates are worked out again from the
+fingerprint inside a bucket: the 8 bytes are sent, not the 48.)
+
+A bucket gives one row per fingerprint, the smallest one it reaches there, never its pairs. A bucket of over ``WIDE`` fingerprints isn't brought into
+one task at all: each of its fingerprints goes to the words one bit away in its free blocks (and to itself), and fingerprints that share such a
+word are within 2 bits. These meet by word, 23 at most, so a crowd is dealt out over all tasks and the work stays linear. Both ways find every link.
+Copies collapse before: only distinct fingerprints enter. Links are closed by
 min-label propagation with pointer jumping over distinct fingerprints, each round written to shared storage.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other. Texts of 1
@@ -40,11 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, drop_rows, keyed, materialize, table
 
-LIMIT, BLOCKS, PIVOTS, WIDE = 2, 6, 48, 2048
+LIMIT, BLOCKS, EACH, WIDE = 2, 6, 4, 2048
+PIVOTS = 2 * EACH * BLOCKS
 SEED, SHINGLE = 42, 3
 _EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
-_MASKS = [sum(((1 << (_EDGES[b + 1] - _EDGES[b])) - 1) << _EDGES[b] for b in keep) for keep in combinations(range(BLOCKS), BLOCKS - LIMIT)]
-_REFS = np.array([xxhash.xxh64_intdigest(str(k), seed=SEED) for k in range(PIVOTS)], np.uint64)
+_BLOCK = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
+_CHOICES = list(combinations(range(BLOCKS), BLOCKS - LIMIT))
+#: By block, reference and whether the block's bits are turned over.
+_REFS = np.array([[[r, r ^ m] for r in (xxhash.xxh64_intdigest(f"{b}:{k}", seed=SEED) for k in range(EACH))] for b, m in enumerate(_BLOCK)], np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -94,19 +94,28 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def coordinates(fps: np.ndarray) -> np.ndarray:
+    """The table: distances of fingerprints to all pivots, one row each."""
+    return np.bitwise_count(fps[:, None] ^ _REFS.reshape(1, -1)).astype(np.int8)
+
+
+def bucket_keys(table: np.ndarray) -> np.ndarray:
+    """For each row of the table its key in each choice of blocks: the 16 coordinates inside these blocks, four bits each."""
+    pairs = table.reshape(-1, BLOCKS, EACH, 2).astype(np.int64)
+    inside = (pairs[..., 0] - pairs[..., 1] + np.diff(_EDGES)[None, :, None]) // 2
+    code = (inside << np.arange(0, 4 * EACH, 4)).sum(2).astype(np.uint64)
+    width = np.uint64(4 * EACH)
+    out = np.zeros((len(table), len(_CHOICES)), np.uint64)
+    for k, blocks in enumerate(_CHOICES):
+        for b in blocks:
+            out[:, k] = out[:, k] << width | code[:, b]
+    return out
+
+
 def bucket_links(fps: np.ndarray) -> np.ndarray:
     """The smallest fingerprint that each of a bucket's distinct fingerprints reaches inside the bucket."""
     fps = np.sort(fps)
-    n = len(fps)
-    if n > WIDE:
-        free = np.bitwise_or.reduce(fps) & ~np.bitwise_and.reduce(fps)
-        flips = np.array([0, *(1 << k for k in range(64) if int(free) >> k & 1)], np.uint64)
-        ball = (fps[:, None] ^ flips[None, :]).ravel()
-        who = np.repeat(np.arange(n), len(flips))
-        order = np.lexsort((who, ball))
-        same = ball[order][1:] == ball[order][:-1]
-        return fps[_roots(n, who[order][1:][same], who[order][:-1][same])]
-    coords = np.bitwise_count(fps[:, None] ^ _REFS[None, :]).astype(np.int8)
+    n, coords = len(fps), coordinates(fps)
     order = np.argsort(coords[:, 0], kind="stable")
     last = np.searchsorted(coords[order, 0], coords[order, 0].astype(np.int64) + LIMIT, "right")
     left, right = [], []
@@ -122,11 +131,10 @@ def bucket_links(fps: np.ndarray) -> np.ndarray:
 
 
 def _spread(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    masks = np.array(_MASKS, np.uint64)
     for pdf in it:
         fps = pdf["fp"].to_numpy().view(np.uint64)
-        key = fps[:, None] & masks[None, :]
-        yield pd.DataFrame({"table": np.tile(np.arange(len(masks), dtype=np.int32), len(fps)), "key": key.ravel().view(np.int64), "fp": np.repeat(fps, len(masks)).view(np.int64)})
+        keys = bucket_keys(coordinates(fps))
+        yield pd.DataFrame({"choice": np.tile(np.arange(len(_CHOICES), dtype=np.int32), len(fps)), "key": keys.ravel().view(np.int64), "fp": np.repeat(fps, len(_CHOICES)).view(np.int64)})
 
 
 def _link(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,10 +150,31 @@ def _link(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": a, "b": b})
 
 
+def _midpoints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each fingerprint of a crowded bucket with itself and the words one bit away in its choice's free blocks."""
+    turns = [np.array([0, *(1 << k for b in set(range(BLOCKS)) - set(blocks) for k in range(_EDGES[b], _EDGES[b + 1]))], np.uint64) for blocks in _CHOICES]
+    for pdf in it:
+        for choice, own in pdf.groupby("choice"):
+            fps = own["fp"].to_numpy().view(np.uint64)
+            words = fps[:, None] ^ turns[choice][None, :]
+            yield pd.DataFrame({"fp": np.repeat(fps, words.shape[1]).view(np.int64), "word": words.ravel().view(np.int64)})
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Links a-b between distinct fingerprints (column fp) whose closure is that of all pairs within LIMIT."""
-    buckets = distinct.mapInPandas(_spread, "table int, key bigint, fp bigint").groupBy("table", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return buckets.select("fps").mapInPandas(_link, "a bigint, b bigint").distinct()
+    rows = materialize(distinct.mapInPandas(_spread, "choice int, key bigint, fp bigint"), "op6-buckets")
+    wide = materialize(rows.groupBy("choice", "key").count().where(F.col("count") > WIDE).select("choice", "key"), "op6-wide")
+    found = None
+    if wide.isEmpty():
+        narrow = rows
+    else:
+        narrow = rows.join(wide, ["choice", "key"], "left_anti")
+        met = rows.join(wide, ["choice", "key"]).select("choice", "fp").mapInPandas(_midpoints, "fp bigint, word bigint").distinct()
+        low = met.groupBy("word").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+        found = low.select(F.explode("fps").alias("a"), "b").where("a <> b")
+    buckets = narrow.groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    near = buckets.select("fps").mapInPandas(_link, "a bigint, b bigint")
+    return (near if found is None else near.union(found)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 Texts are UTF-8 bytes. A byte is removed if a string of ``LENGTH`` bytes that covers it also starts anywhere
 else, in another document or in the same one. Matches never cross documents.
 
-Tokens. A suffix is compared by tokens instead of single bytes. Each string of LENGTH bytes picks an anchor:
+Tokens. A suffix is compared by tokens instead of single bytes, and only suffixes at anchors are ordered. Each string of LENGTH bytes picks an anchor:
 the least of the 8-byte hashes that start at its bytes LEFT to LEFT+MIDDLE-1 (the first of equals). Equal
-strings pick the same place. Consecutive strings with one anchor, and with it in the same half, form a run. What
+strings pick the same place. Consecutive strings with one anchor, and with it in the same half, form a run. The
+leading token is the first four bytes of the suffix at the anchor as they are, so runs lie in the order of their suffixes' bytes, and then half a fingerprint of what
 all strings of such a run share around the anchor (LEFT bytes before it and half of LENGTH after it, or half before and RIGHT
-after) is fingerprinted as the leading token, so equal strings have equal leading tokens too; the run's second token is
-the fingerprint of all its bytes.
+after); equal strings have equal leading tokens too. The run's second token is
+the fingerprint of all its bytes: from the fifth byte on the order is that of fingerprints.
 
 Round 1 orders all runs by (token, second token, document, position): splitters that Spark samples from all
 of these leading tokens range-partition them, so even one token that a third of all runs hold is dealt over
@@ -24,7 +25,7 @@ else does.
 
 Defined results: null text counts as empty. Texts under LENGTH bytes stay whole. Exact copies lose all bytes
 if they have LENGTH or more. Rows that repeat an id give a row each. Null ids are kept. Empty tables give empty results.
-Equal fingerprints are taken as equal strings. The stage decodes what is left and drops the rest of characters cut
+Equal fingerprints are taken as equal strings. Documents are told apart by their rows' own numbers in the scan. The stage decodes what is left and drops the rest of characters cut
 in two; it leaves a null text null.
 """
 
@@ -40,7 +41,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from ..sources.files import spread
+from .common import materialize, shuffle_partitions
 
 LENGTH, LEFT, MIDDLE = 200, 17, 150
 RIGHT = LENGTH - (LEFT + MIDDLE - 1)
@@ -110,7 +112,9 @@ def slice_runs(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     bounds = mix(((at - first).astype(np.uint64) << np.uint64(32)) | (at - last).astype(np.uint64))
     late = late[first]
     lead = prints.of(np.where(late, at - LENGTH // 2, at - LEFT), np.where(late, at + RIGHT, at + LENGTH - LENGTH // 2 + 1))
-    return lead ^ late.astype(np.uint64), prints.of(first, last + LENGTH) ^ bounds, first, last
+    ahead = words[at].byteswap() & np.uint64(0xFFFFFFFF00000000)  # the suffix's first four bytes, in their order
+    key = ahead | (lead ^ late.astype(np.uint64)) >> np.uint64(32)
+    return key ^ np.uint64(1 << 63), prints.of(first, last + LENGTH) ^ bounds, first, last  # signed numbers order like the bytes
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +287,9 @@ def _merge(los: list[int], his: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("dk", F.xxhash64("doc_id", "text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with dk, the row's number in the scan. docs must be a plain scan of files: every scan of these gives a row the same number."""
+    return docs.withColumn("dk", F.monotonically_increasing_id())
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
@@ -301,9 +306,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs``, the text as zstd frames, and the columns los, his (null: nothing to remove)."""
-    docs = keyed(docs)
-    return pressed(docs).join(repeated_starts(docs.select("dk", "text")), "dk", "left")
+    """``docs`` (a plain scan), the text as zstd frames, and the columns los, his (null: nothing to remove)."""
+    docs = numbered(docs)
+    return pressed(spread(docs)).join(repeated_starts(spread(docs.select("dk", "text"))), "dk", "left")
 
 
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -323,10 +328,18 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_spans(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "text", "los", "his")
+    found = with_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "text", "los", "his")
     return found.mapInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` only reads columns of files: no other operator stands in its plan."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project" and plan.deterministic():
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor().decompress
     for b in batches:
@@ -336,8 +349,9 @@ def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated strings cut from text, and n_chars (if there is such a column) counted again."""
+def deduplicate(docs: DataFrame, scan: bool = False) -> DataFrame:
+    """``docs`` with the repeated strings cut from text, and n_chars (if there is such a column) counted again. What isn't a plain ``scan`` of files is written first."""
+    docs = docs if scan else materialize(docs, "op4-docs")
     schema = docs.schema
     names = docs.columns
     own = docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"c{i}") for i, c in enumerate(names)))
@@ -347,7 +361,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicate(docs)
+    """The pipeline's documents are a plain scan of what the stage before wrote; anything else is written first, so that rows can be numbered."""
+    return deduplicate(docs, scan=is_scan(docs))
 
 
 #: The contract in SQL: strings are compared as such and counted over all starts.

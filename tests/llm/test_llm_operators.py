@@ -427,16 +427,32 @@ def test_suffix_query_against_its_sql(spark, tables):
     assert sum(r[2] for r in want) > 5000
 
 
-def test_cut_against_brute_force(spark, monkeypatch):
+def test_cut_against_brute_force(spark, tmp_path):
     r = random.Random(8)
     parts = ["".join(r.choice("abcdé ") for _ in range(r.randint(150, 420))) for _ in range(12)]
     texts = ["".join(r.choice(parts) if r.random() < 0.5 else "".join(r.choice("xyz ") for _ in range(r.randint(1, 260))) for _ in range(r.randint(0, 5))) for _ in range(60)]
     texts += [None, "", "ab" * 400, "q" * 201, "q" * 200, texts[3], texts[3]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    monkeypatch.setattr(suffix_dedup, "table", lambda *a: docs)
-    got = {x.doc_id: x for x in suffix_dedup.op4_suffix_dedup(spark, "").collect()}
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [suffix_dedup.is_scan(d) for d in (read, read.select("text"), docs, read.limit(3), read.repartition(2))] == [True, True, False, False, False]
+    cut = {x.doc_id: x.text for x in suffix_dedup.deduplicate(docs).collect()}
     for i, (kept, removed, spans) in enumerate(brute_cut(texts)):
         assert (got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (removed, spans, hashlib.sha256(kept).hexdigest()), i
+        assert (cut[i] or "") == kept.decode("utf-8", "ignore")
+
+
+def test_runs_lie_in_the_order_of_their_suffixes():
+    r = np.random.default_rng(2)
+    data = r.integers(0, 256, 20_000).astype(np.uint8)
+    key, _, first, last = suffix_dedup.slice_runs(data, np.ones(len(data) - suffix_dedup.LENGTH, bool))
+    order = np.argsort(key.view(np.int64), kind="stable")
+    heads = key[order] ^ np.uint64(1 << 63)
+    tokens = [int(h).to_bytes(8, "big")[:4] for h in heads]
+    assert tokens == sorted(tokens)
+    raw = data.tobytes()
+    assert all(raw.find(t, int(a), int(b) + suffix_dedup.LENGTH) >= 0 for t, a, b in zip(tokens, first[order], last[order], strict=True))
 
 
 def test_multikey_quicksort():
@@ -535,7 +551,9 @@ def test_fingerprint_against_plain_code():
         assert simhash.fingerprint(text) == plain(text)
 
 
-def test_links_against_all_pairs(spark):
+@pytest.mark.parametrize("wide", [2048, 3])
+def test_links_against_all_pairs(spark, monkeypatch, wide):
+    monkeypatch.setattr(simhash, "WIDE", wide)
     r = random.Random(6)
     fps = [r.getrandbits(64) for _ in range(60)]
     for _ in range(140):
@@ -549,13 +567,33 @@ def test_links_against_all_pairs(spark):
     assert [have[fp] for _, fp in rows] == brute_components([(i, x & (1 << 64) - 1) for i, x in rows])
 
 
-def test_wide_buckets_agree_with_narrow_ones(monkeypatch):
-    r = random.Random(1)
-    base = r.getrandbits(64)
-    fps = np.unique(np.array([base ^ sum(1 << r.randrange(22) for _ in range(3)) for _ in range(300)], np.uint64))
-    narrow = simhash.bucket_links(fps)
+def test_a_crowd_of_near_fingerprints_is_one_component(spark, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE", 10)
-    assert (simhash.bucket_links(fps) == narrow).all()
+    r = random.Random(1)
+    base = r.getrandbits(62)
+    fps = sorted({base ^ (1 << r.randrange(62)) ^ (1 << r.randrange(62)) for _ in range(300)})
+    far = base ^ (1 << 62) - 1
+    got = simhash.classes(spark.createDataFrame([(k, x) for k, x in enumerate([*fps, far])], "doc_id bigint, fp bigint")).collect()
+    want = dict(zip([*fps, far], brute_components(list(enumerate([*fps, far]))), strict=True))
+    assert {x.fp: x.component_id for x in got} == want and sum(v == 0 for v in want.values()) > 100
+
+
+def test_pivot_tables_and_keys():
+    r = random.Random(8)
+    fps = [r.getrandbits(64) for _ in range(400)]
+    near = [x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for x in fps]
+    a, b = (np.array(x, np.uint64) for x in (fps, near))
+    refs = simhash._REFS.ravel().tolist()
+    table = simhash.coordinates(a)
+    assert table.shape == (400, simhash.PIVOTS) and (table[:5] == [[bin(x ^ p).count("1") for p in refs] for x in fps[:5]]).all()
+    keys, others = simhash.bucket_keys(table), simhash.bucket_keys(simhash.coordinates(b))
+    assert (keys == others).any(1).all()
+    far = simhash.bucket_keys(simhash.coordinates(np.array([r.getrandbits(64) for _ in range(400)], np.uint64)))
+    assert (keys == far).any(1).mean() < 0.01
+    inside = [bin((fps[0] ^ int(simhash._REFS[blk, k, 0])) & simhash._BLOCK[blk]).count("1") for blk in simhash._CHOICES[3] for k in range(simhash.EACH)]
+    packed = int(keys[0, 3])
+    got = [packed >> (16 * (3 - n // 4) + 4 * (n % 4)) & 15 for n in range(16)]
+    assert got == inside
 
 
 # 7
