@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, letter_runs, materialize, table
 
 SAMPLE, BLOCK, K, POWER, PRIOR, THRESHOLD = 4096, 64, 15, 2.0, 0.3, 0.7
-FLOOR, TRUST, DENSE, FIRST = 0.05, 0.5, 256, 4
+FLOOR, TRUST, DENSE, FIRST = 0.05, 0.5, 256, 8
 #: Queries that are searched at once.
 QUERIES = 64
 #: Documents whose terms are counted at once, and scores of texts that a task keeps.
@@ -57,11 +57,10 @@ class Vectors:
         self.vocabulary, self.weights = vocabulary, weights
 
     def of(self, words: list[str]) -> Vector:
-        known = self.vocabulary
-        pairs = [(k, n) for w, n in Counter(words).items() if (k := known.get(w)) is not None]
-        if not pairs:
+        found = [k for k in map(self.vocabulary.get, words) if k is not None]
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        ks, ns = np.array(sorted(pairs), np.int64).T
+        ks, ns = np.unique(np.array(found), return_counts=True)
         x = (1 + np.log(ns)) * self.weights[ks]
         return ks, x / np.sqrt((x * x).sum())
 
@@ -69,8 +68,9 @@ class Vectors:
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers start..end of all ranges in a row, and the range of each."""
     size = end - start
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which], which
+    last = np.cumsum(size)
+    which = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    return np.arange(len(which), dtype=np.int32) + np.repeat((start - (last - size)).astype(np.int32), size), which
 
 
 class BlockMaxIndex:
@@ -110,7 +110,7 @@ class BlockMaxIndex:
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * q
         ks, xs = np.concatenate([v[0] for v in queries]), np.concatenate([v[1] for v in queries])
-        owner = np.repeat(np.arange(q), [len(v[0]) for v in queries])
+        owner = np.repeat(np.arange(q, dtype=np.int32), [len(v[0]) for v in queries])
         column = self.column[ks]
         common = column >= 0
         own = np.zeros((q, len(self.columns)))
@@ -126,22 +126,18 @@ class BlockMaxIndex:
             spot, of = _ranges(self.cell_start[cell[on]], self.cell_start[cell[on] + 1])
             where = (at[on] * self.block)[of] + self.local[spot]
             np.add(scores, np.bincount(where, x[on][of] * self.weight[spot], q * n).reshape(q, n), out=scores)
-
-        def best(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Scores in these blocks (others 0), and the k-th best of each query."""
-            seen = np.where(np.repeat(blocks, self.block, 1), scores, 0.0)
             if without:
-                seen[np.arange(q), without] = 0.0
-            return seen, np.maximum(np.partition(seen, n - k, 1)[:, n - k] if n >= k else 0.0, 0.0) * np.ones(q)
+                scores[np.arange(q), without] = 0.0
 
-        begun = np.zeros((q, self.blocks), bool)
-        np.put_along_axis(begun, np.argpartition(-bound, min(FIRST, self.blocks) - 1, 1)[:, :FIRST], True, 1)
+        begun, first = np.zeros((q, self.blocks), bool), min(FIRST, self.blocks)
+        promising = np.argpartition(-bound, first - 1, 1)[:, :first]
+        np.put_along_axis(begun, promising, True, 1)
         read(begun)
-        more = (bound >= best(begun)[1][:, None] - 1e-12) & (bound > 0) & ~begun
-        read(more)
-        seen, least = best(begun | more)
+        seen = np.take_along_axis(scores.reshape(q, self.blocks, self.block), promising[:, :, None], 1).reshape(q, -1)
+        least = np.maximum(np.partition(seen, seen.shape[1] - k, 1)[:, seen.shape[1] - k] if seen.shape[1] >= k else 0.0, 0.0) * np.ones(q)
+        read((bound >= least[:, None] - 1e-12) & (bound > 0) & ~begun)
         out = []
-        for row, mark in zip(seen, least, strict=True):
+        for row, mark in zip(scores, least, strict=True):  # what isn't read whole is under its block's bound, and that under the mark
             ids = np.flatnonzero(row >= max(mark - 1e-12, 1e-300))
             ids = ids[np.lexsort((ids, -np.round(row[ids], 12)))[:k]]
             out.append((ids, row[ids]))
