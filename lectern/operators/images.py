@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,44 @@ def measure(rgb: np.ndarray) -> dict[str, float]:
     return {"ink": float(mask.mean()), "parts": float(len(sizes)), "largest": float(sizes[0]) if len(sizes) else 0.0, "pitch": float(pitch), "strength": strength, "saturation": float(np.where(high > 0, (high - low) / np.maximum(high, 1), 0).mean())}
 
 
+def decoded(content: bytes) -> np.ndarray:
+    """Rows x columns x 3 of an image: binary PGM and PPM, and whatever else Pillow reads where it is installed."""
+    if content[:2] in (b"P5", b"P6"):
+        head = re.match(rb"P[56]\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", content)
+        w, h, deep = (int(x) for x in head.groups())
+        if deep > 255:
+            raise ValueError("images of 8 bits only")
+        planes = 3 if content[:2] == b"P6" else 1
+        data = np.frombuffer(content, np.uint8, w * h * planes, head.end()).reshape(h, w, planes)
+        return np.repeat(data, 3, 2) if planes == 1 else data
+    import io
+
+    from PIL import Image
+
+    return np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))
+
+
+MEASURES = "ink double, parts double, largest double, pitch double, strength double, saturation double"
+
+
+def measured(files: DataFrame) -> DataFrame:
+    """(path, status, measures) of image files (path, content), as Spark's binaryFile source reads them; what can't be decoded is told, not dropped."""
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    found, status = measure(decoded(bytes(content))), "ok"
+                except Exception as e:  # a broken file is a row of its own
+                    found, status = {}, f"unreadable: {type(e).__name__}"
+                rows.append((path, status, *(found.get(n) for n in names)))
+            yield pd.DataFrame(rows, columns=["path", "status", *names])
+
+    return files.select("path", "content").mapInPandas(run, f"path string, status string, {MEASURES}")
+
+
 def _cuts(size: Column, tile: Column, overlap: int) -> Column:
     """array<struct(a, b)>: as few equal stretches of at most ``tile`` that overlap by ``overlap``."""
     n = F.when(size <= tile, 1).otherwise(F.ceil((size - overlap) / (tile - overlap))).cast("int")

@@ -12,6 +12,9 @@ from .order import numbered
 STATUS = {"identified": ("high",), "partial": ("medium", "low"), "unidentified": ("none",)}
 KINDS = ("theology", "law", "science", "arts", "liturgy", "document")
 LOCAL_PATH = r"/Users/|/home/|/tmp/|/private/"
+# Keys and configuration files that must not be published, forms of ids and checksums, names of images
+SECRET = r"AIza[0-9A-Za-z_-]{20,}|\.mcp\.json"
+FRAGMENT, SLUG, DIGEST, IMAGE = r"^F-[a-z0-9]{4}$", r"^[a-z0-9][a-z0-9_-]{0,79}$", r"^[0-9a-f]{64}$", r"^image-\d{3}\.(jpg|jpeg|png|tif|tiff)$"
 
 
 def unlisted(candidates: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
@@ -69,6 +72,54 @@ def upsert(ledger: DataFrame, results: DataFrame, today: str) -> DataFrame:
     return both.select(*(changed.get(c, F.col(c)) for c in ledger.columns))
 
 
+def private(texts: DataFrame, *columns: str) -> DataFrame:
+    """Rows of texts that name local paths or secrets in one of the columns."""
+    return texts.where(F.concat_ws("\n", *columns).rlike(f"{LOCAL_PATH}|{SECRET}"))
+
+
+def registered(rows: DataFrame, ledger: DataFrame, key: str = "fragment") -> tuple[DataFrame, DataFrame]:
+    """Rows whose fragment is in the ledger, and the others."""
+    ids = ledger.select(F.col("id").alias(key))
+    return rows.join(ids, key, "left_semi"), rows.join(ids, key, "left_anti")
+
+
+def reading_violations(readings: DataFrame) -> DataFrame:
+    """(id, rule) for everything that is wrong with readings as they stand; lineage is checked apart."""
+    c = F.col
+    no = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    unlike = lambda x, p: ~F.coalesce(x.rlike(p), F.lit(False))
+    images = F.coalesce(c("packet.images"), F.array())
+    names = F.transform(images, lambda i: i["name"])
+    first, revised, recognised = (c("kind") == k for k in ("image-only", "source-assisted", "htr"))
+    rules = {
+        "schema": ~c("schema_version").eqNullSafe(F.lit(1)),
+        "id": unlike(c("fragment"), FRAGMENT) | unlike(c("id"), SLUG),
+        "empty": no(c("reader")) | no(c("text")),
+        "timezone": unlike(c("captured_at"), r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*(Z|[+-]\d\d:?\d\d)$"),
+        "checksum": ~F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).eqNullSafe(c("text_sha256")),
+        "kind": ~F.coalesce(first | revised | recognised, F.lit(False)),
+        "isolation": first & (~F.coalesce("isolation_attested", F.lit(False)) | no(c("session"))),
+        "packet": first & (no(c("packet.prompt")) | (F.size(images) == 0)),
+        "image": first & (F.exists(images, lambda i: unlike(i["name"], IMAGE) | unlike(i["sha256"], DIGEST) | no(i["source"])) | (F.size(F.array_distinct(names)) < F.size(names))),
+        "first-reading": revised & (unlike(c("first_reading"), SLUG) | unlike(c("first_sha256"), DIGEST)),
+        "reason": revised & (no(c("reason")) | (F.size(F.coalesce("sources", F.array())) == 0) | F.exists(F.coalesce("sources", F.array()), no)),
+        "purpose": recognised & ~F.coalesce(c("purpose").isin("tool-validation", "independent-reading"), F.lit(False)),
+        "recognised-text": recognised & ~c("text").eqNullSafe(c("htr.text")),
+        "image-sources": recognised & ((F.size(F.coalesce("image_sources", F.array())) != F.size(F.coalesce("htr.pages", F.array()))) | F.exists(F.coalesce("image_sources", F.array()), no)),
+    }
+    broken = F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())))
+    return readings.select("id", F.explode(broken).alias("rule"))
+
+
+def facets_in_order(rows: DataFrame, holdings: str, kind: str, menu: list[str]) -> DataFrame:
+    """(facet, value, n, place): holdings by number, and kinds in the order of the menu, zero rows included."""
+    held = rows.where(F.col(holdings).isNotNull()).groupBy(F.col(holdings).alias("value")).agg(F.count("*").alias("n"), F.min("order").alias("first"))
+    held = held.withColumn("place", F.row_number().over(Window.partitionBy(F.lit("holding")).orderBy(F.desc("n"), "first", "value")))
+    kinds = status_counts(rows.select(F.col(kind).alias("state")), menu)
+    out = held.select(F.lit("holding").alias("facet"), "value", "n", F.col("place").cast("bigint").alias("place"))
+    return out.unionByName(kinds.select(F.lit("kind").alias("facet"), F.col("state").alias("value"), "n", (F.col("ord") + 1).cast("bigint").alias("place")))
+
+
 def lineage_violations(readings: DataFrame) -> DataFrame:
     """(id, rule): revisions must name an existing first reading, carry its hash, and not be older."""
     base = readings.select(F.col("id").alias("b_id"), F.col("fragment").alias("b_fragment"), F.col("sha256").alias("b_sha"), F.col("captured_at").alias("b_at"), F.col("kind").alias("b_kind"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,6 +95,26 @@ def site(ledger: DataFrame, reports: dict[str, str]) -> dict[str, str]:
     return {"index.html": f"<!doctype html><title>Index</title><ul>{links}</ul>"} | {f"{r['id']}.html": page(r, reports.get(r["id"], "")) for r in rows}
 
 
+def burndown(worklist: DataFrame, most: int | None = None) -> str:
+    """The page of what is left: a table of rows (id, state, priority), the highest priority first, ties by id."""
+    rows = worklist.orderBy(F.desc("priority"), "id")
+    rows = (rows.limit(most) if most else rows).collect()
+    lines = "".join(f"<tr><td>{html.escape(r['id'])}</td><td>{html.escape(r['state'])}</td><td>{r['priority']}</td></tr>" for r in rows)
+    return f"<!doctype html><title>What is left</title><table>{lines}</table>"
+
+
+def publish(pages: dict[str, str], folder: str) -> list[str]:
+    """Writes pages to a folder of the driver and deletes pages there that are no longer made; the names of these are returned."""
+    where = Path(folder)
+    where.mkdir(parents=True, exist_ok=True)
+    for name, content in pages.items():
+        (where / name).write_text(content, encoding="utf-8")
+    stale = sorted(p.name for p in where.glob("*.html") if p.name not in pages)
+    for name in stale:
+        (where / name).unlink()
+    return stale
+
+
 def sections(sheets: DataFrame) -> DataFrame:
     """(set, file, reader, words, status): answer sheets (set, reader, text) split at === file === lines; repeated and unread headers are told."""
     parts = F.regexp_extract_all("text", F.lit(r"(?s)===\s*(\S+)\s*===\s*\n(.*?)(?=\n===|$)"), F.lit(0))

@@ -12,7 +12,8 @@ LEDGER = (
 )
 READING = (
     "schema_version int, fragment string, id string, captured_at string, kind string, reader string, text string, text_sha256 string, first_reading string, first_sha256 string, "
-    "sources array<string>, reason string, session string, isolation_attested boolean"
+    "sources array<string>, reason string, session string, isolation_attested boolean, packet struct<prompt:string,images:array<struct<name:string,sha256:string,source:string>>>, "
+    "purpose string, htr struct<text:string,pages:array<string>>, image_sources array<string>"
 )
 
 
@@ -69,6 +70,12 @@ def page_violations(docs: DataFrame) -> DataFrame:
     return p.select("doc_id", rule.alias("rule")).where("rule is not null")
 
 
+def parts_that_differ(present: DataFrame, indexed: DataFrame, column: str = "part") -> DataFrame:
+    """(part, where) of parts that only one side has: none if a corpus and its index agree."""
+    a, b = present.select(column).distinct().withColumn("p", F.lit(True)), indexed.select(column).distinct().withColumn("i", F.lit(True))
+    return a.join(b, column, "full").where(F.col("p").isNull() | F.col("i").isNull()).select(column, F.when(F.col("p"), "not indexed").otherwise("not present").alias("where"))
+
+
 def latest(spark: SparkSession, path: str, all_: bool = False) -> DataFrame:
     """Rows of the last snapshot by file name, or of all with their rank from the last."""
     rows = spark.read.options(header=True, multiLine=True, escape='"').csv(path).withColumn("snapshot", F.col("_metadata.file_name"))

@@ -55,7 +55,7 @@ def portal(df: DataFrame) -> DataFrame:
     got = _exploded(df, schema, "objects")
     own = F.filter(F.transform(F.concat(F.array("hit.id"), F.coalesce("hit.descriptions", F.array())), lambda i: F.try_element_at(F.col("j.highlighting"), i)), lambda m: m.isNotNull())
     parts = F.flatten(F.transform(own, lambda m: F.flatten(F.transform(F.map_values(m), lambda xs: F.slice(xs, 1, 2)))))
-    return got.select("url", "status", "ord", F.col("hit.id").alias("id"), F.col("hit.label").alias("label"), F.try_element_at(F.col("j.digitized"), F.col("hit.id")).alias("digitized"), F.transform(parts, strip_tags).alias("passages"))
+    return got.select("url", "status", "ord", F.col("hit.id").alias("id"), F.col("hit.label").alias("label"), F.try_element_at(F.col("j.digitized"), F.col("hit.id")).alias("digitized"), F.transform(parts, lambda x: strip_tags(x)).alias("passages"))
 
 
 def keyword_in_context(df: DataFrame) -> DataFrame:
@@ -77,6 +77,54 @@ def chants(df: DataFrame) -> DataFrame:
     return got.select("url", "status", "ord", "hit.*") if "hit" in got.columns else got
 
 
+def _listed(df: DataFrame, item: str) -> DataFrame:
+    """Responses whose body is a bare JSON list."""
+    body = F.when(F.trim("body") != "", F.concat(F.lit('{"items":'), F.ltrim(F.col("body"), F.lit("\ufeff")), F.lit("}")))
+    return _exploded(df.withColumn("body", body), f"items array<{item}>", "items")
+
+
+def text_hits(df: DataFrame, genre: str | None = None) -> DataFrame:
+    """Chants found by their words: id, genre and full text; of one genre if that is named."""
+    got = _listed(df, "struct<cid:string,genre:string,fulltext:string>").select("url", "status", "ord", "hit.*")
+    return got.where((F.col("status") != "ok") | (F.col("genre") == genre)) if genre else got
+
+
+def next_chants(df: DataFrame) -> DataFrame:
+    """Chants that follow a chant, as the service counts them: id, count, genre, feast and trimmed full text."""
+    info = "struct<field_genre:string,field_feast:string,field_full_text:string>"
+    got = _listed(df, f"struct<cid:string,count:bigint,info:{info}>")
+    return got.select("url", "status", "ord", "hit.cid", F.col("hit.count").alias("n"), F.col("hit.info.field_genre").alias("genre"), F.col("hit.info.field_feast").alias("feast"), F.trim(F.coalesce("hit.info.field_full_text", F.lit(""))).alias("fulltext"))
+
+
+def in_source_order(rows: DataFrame) -> DataFrame:
+    """Concordance rows by century (none: last) and siglum."""
+    return rows.orderBy(F.coalesce(F.nullif(F.col("century"), F.lit("")), F.lit("99")), F.coalesce("siglum", F.lit("")))
+
+
+def database_chants(df: DataFrame, site: str) -> DataFrame:
+    """The nine fields of each row of a chant database's page: siglum, folio, incipit, full text, feast, service, genre, id, link."""
+    body = F.regexp_extract("body", r"(?s)<tbody(.*?)</tbody>", 1)
+    got = df.select("url", F.posexplode(F.regexp_extract_all(body, F.lit(r"(?s)<tr>(.*?)</tr>"), F.lit(1))).alias("ord", "row"))
+    got = got.withColumn("raw", F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))).where(F.size("raw") >= 8)
+    cell = lambda k: strip_tags(F.col("raw")[k])
+    link = F.regexp_extract(F.col("raw")[2], r'(?s)href="(/chant/\d+/)"', 1)
+    named = strip_tags(F.regexp_extract(F.col("raw")[2], r'(?s)href="/chant/\d+/"[^>]*>(.*?)</a>', 1))
+    full = strip_tags(F.regexp_extract(F.col("raw")[2], r"(?s)<div>(.*?)</div>", 1))
+    return got.select(
+        "url", "ord", cell(0).alias("siglum"), cell(1).alias("folio"), F.when(link != "", named).otherwise(cell(2)).alias("incipit"), full.alias("fulltext"), cell(3).alias("feast"), cell(4).alias("service"),
+        cell(5).alias("genre"), cell(7).alias("cid"), F.when(link != "", F.concat(F.lit(site), link)).otherwise("").alias("link"),
+    )
+
+
+def record_links(df: DataFrame, site: str) -> DataFrame:
+    """(id, descriptions, files): what a record's page (id, body) links of its own, as whole addresses, in page order, each once."""
+    whole = lambda found: F.array_distinct(F.transform(found, lambda x: F.when(F.startswith(x, F.lit("http")), x).otherwise(F.concat(F.lit(site), x))))
+    host = f"(?:{site})?".replace(".", "[.]")
+    ours = F.regexp_extract_all("body", F.concat(F.lit(f'href="({host}/description/'), F.col("id"), F.lit('/[0-9]+)"')), F.lit(1))
+    files = F.regexp_extract_all("body", F.concat(F.lit(f"({host}/uploads/[^\"'\\s<>]*"), F.col("id"), F.lit("/[^\"'\\s<>]+)")), F.lit(1))
+    return df.select("id", whole(ours).alias("descriptions"), whole(files).alias("files"))
+
+
 def heading_links(df: DataFrame, own: str) -> DataFrame:
     """Heading (200) and the distinct links in order that don't lead into the catalogue itself (``own``)."""
     heading = F.substring(strip_tags(F.regexp_extract("body", r"(?s)<h1[^>]*>(.*?)</h1>", 1)), 1, 200)
@@ -89,7 +137,7 @@ def table_rows(df: DataFrame, least: int = 8) -> DataFrame:
     body = F.regexp_extract("body", r"(?s)<tbody(.*?)</tbody>", 1)
     rows = F.regexp_extract_all(body, F.lit(r"(?s)<tr>(.*?)</tr>"), F.lit(1))
     got = df.select("url", F.posexplode_outer(rows).alias("ord", "row"))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), strip_tags)
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda x: strip_tags(x))
     return got.withColumn("cells", cells).where(F.size("cells") >= least).drop("row")
 
 
@@ -101,14 +149,14 @@ def melody_rows(df: DataFrame) -> DataFrame:
     got = got.withColumn("status", F.when(F.col("body").isNull() | F.col("reported").isNull() | ((F.col("reported") > 0) & (F.size("rows") == 0)), "unavailable").otherwise("ok"))
     got = got.withColumns({"returned": F.size("rows"), "truncated": F.size("rows") < F.col("reported")})
     out = got.select("url", "status", "reported", "returned", "truncated", F.posexplode_outer("rows").alias("ord", "row"))
-    return out.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), strip_tags)).drop("row")
+    return out.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda x: strip_tags(x))).drop("row")
 
 
 def result_blocks(df: DataFrame, ident: str = r"^F-[a-z0-9]{4}$") -> DataFrame:
     """Search pages: a row for each result block that carries an id."""
     blocks = F.slice(F.split("body", '<div class="search-result row">'), 2, 1_000_000)
     got = df.select("url", F.posexplode(blocks).alias("ord", "block"))
-    every = lambda p: F.transform(F.regexp_extract_all("block", F.lit("(?s)" + p), F.lit(1)), strip_tags)
+    every = lambda p: F.transform(F.regexp_extract_all("block", F.lit("(?s)" + p), F.lit(1)), lambda x: strip_tags(x))
     one = lambda p: F.regexp_extract("block", "(?s)" + p, 1)
     titles, head = every('<div class="document-title">(.*?)</div>'), strip_tags(one('<div class="document-headline">(.*?)</div>'))
     last = F.trim(F.element_at(F.split(head, "·"), -1))
@@ -120,15 +168,37 @@ def result_blocks(df: DataFrame, ident: str = r"^F-[a-z0-9]{4}$") -> DataFrame:
     return out.where("id is not null").withColumn("title", F.when(F.col("title") == F.col("id"), "").otherwise(F.col("title")))
 
 
-def canvases(df: DataFrame) -> DataFrame:
-    """Image manifests, version 2 or 3: a row for each canvas with label, image base and size."""
-    v2 = "sequences array<struct<canvases:array<struct<label:string,width:int,height:int,images:array<struct<resource:struct<service:struct<`@id`:string>>>>>>>>"
-    v3 = "items array<struct<label:map<string,array<string>>,width:int,height:int,items:array<struct<items:array<struct<body:struct<service:array<struct<id:string>>>>>>>>>"
+# Hosts whose image service, not the image's address, is what tiles are asked of
+SERVICE_HOSTS = ("adore.ugent.be", "libcatalog.ugent.be")
+
+
+def canvases(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Image manifests, version 2 or 3: a row for each canvas with label, image base and size.
+
+    The base is the image's address up to /full/, else its service, else the address; hosts of SERVICE_HOSTS are asked by service. A canvas without a
+    size has that of its base in ``known`` (base, w, h), if there is one."""
+    v2 = "sequences array<struct<canvases:array<struct<label:string,width:int,height:int,images:array<struct<resource:struct<`@id`:string,service:struct<`@id`:string>>>>>>>>"
+    v3 = "items array<struct<label:map<string,array<string>>,width:int,height:int,items:array<struct<items:array<struct<body:struct<id:string,service:array<struct<id:string>>>>>>>>>"
     both = df.withColumns({"a": F.from_json("body", v2), "b": F.from_json("body", v3)})
-    flat = lambda label, base, c: F.struct(label.alias("label"), base.alias("base"), c["width"].alias("width"), c["height"].alias("height"))
-    old = F.transform(F.col("a.sequences")[0]["canvases"], lambda c: flat(c["label"], c["images"][0]["resource"]["service"]["@id"], c))
-    new = F.transform(F.col("b.items"), lambda c: flat(F.element_at(F.map_values(c["label"]), 1)[0], c["items"][0]["items"][0]["body"]["service"][0]["id"], c))
-    return both.select("url", F.posexplode_outer(F.coalesce(old, new)).alias("ord", "c")).select("url", "ord", "c.*")
+
+    def flat(label: Column, address: Column, service: Column, c: Column) -> Column:
+        hosted = F.lit(False)
+        for h in SERVICE_HOSTS:
+            hosted = hosted | F.coalesce(F.contains(address, F.lit(h)), F.lit(False))
+        cut = F.substring_index(address, "/full/", 1)
+        base = F.when(hosted & service.isNotNull(), service).when(F.contains(address, F.lit("/full/")), cut).otherwise(F.coalesce(service, address))
+        return F.struct(label.alias("label"), base.alias("base"), c["width"].alias("width"), c["height"].alias("height"))
+
+    old = F.transform(F.col("a.sequences")[0]["canvases"], lambda c: flat(c["label"], c["images"][0]["resource"]["@id"], c["images"][0]["resource"]["service"]["@id"], c))
+    body = lambda c: c["items"][0]["items"][0]["body"]
+    new = F.transform(F.col("b.items"), lambda c: flat(F.element_at(F.map_values(c["label"]), 1)[0], body(c)["id"], body(c)["service"][0]["id"], c))
+    out = both.select("url", F.posexplode_outer(F.coalesce(old, new)).alias("ord", "c")).select("url", "ord", "c.*")
+    if known is None:
+        return out
+    met = out.join(known.select("base", "w", "h"), "base", "left")
+    whole = (F.col("width") > 0) & (F.col("height") > 0)
+    pick = lambda own, other: F.when(F.coalesce(whole, F.lit(False)), F.col(own)).otherwise(F.col(other)).alias(own)
+    return met.select("url", "ord", "label", "base", pick("width", "w"), pick("height", "h"))
 
 
 def volume_fan(queries: DataFrame, volumes_: DataFrame, responses: DataFrame) -> DataFrame:
@@ -137,6 +207,12 @@ def volume_fan(queries: DataFrame, volumes_: DataFrame, responses: DataFrame) ->
     return pairs.join(responses, ["query", "volume"], "left").withColumn("status", F.when(F.col("body").isNull(), "unavailable").otherwise("ok"))
 
 
+def scan_source(df: DataFrame) -> DataFrame:
+    """(id, text) of stored OCR scans (url, body): the id is the address' last part before _djvu.txt; pages, short texts and other names are left out."""
+    ident = F.regexp_extract("url", r"([A-Za-z0-9][A-Za-z0-9._-]*)_djvu\.txt$", 1)
+    return df.where((ident != "") & usable_scan(F.col("body"))).select(ident.alias("id"), F.col("body").alias("text"))
+
+
 def usable_scan(body: Column, least: int = 1000) -> Column:
     """OCR texts: not a web page, and not too short."""
     return (F.length(body) > least) & ~F.regexp_like(F.substring(body, 1, 500), F.lit(r"(?i)<\s*(html|!doctype)"))

@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from lectern.plans import stored  # noqa: F401
 from lectern.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
