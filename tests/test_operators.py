@@ -4,7 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import ledger, noisy, order, reporting, retrieval, sequences
+from lectern.functions import records
+from lectern.operators import images, ledger, noisy, order, reporting, retrieval, sequences
 from lectern.sources import files, responses, sinks
 
 ANCHORS = [{"id": "a", "variants": [{"text": "alpha beta"}]}, {"id": "b", "variants": [{"parts": ["gamma", "delta"], "gaps": [{"min": 1, "max": 9}]}]}, {"id": "c", "variants": [{"text": "nowhere"}]}]
@@ -212,3 +213,42 @@ def test_reports(spark):
     key = spark.createDataFrame([("s", "c-1.png", "o1"), ("s", "c-3.png", "o3")], "set string, file string, original string")
     assert [None if r.answers is None else r.answers[0].words for r in reporting.paired(key, got).collect()] == ["ab c", None]
     assert sorted(r.place for r in reporting.blinded(key).collect()) == [1, 2]
+
+
+def test_pages_are_published_and_stale_ones_deleted(spark, tmp_path):
+    rows = spark.createDataFrame([("F-b", "open", 3), ("F-a", "open", 3), ("F-c", "partial", 9)], "id string, state string, priority int")
+    page = reporting.burndown(rows)
+    assert [page.index(x) for x in ("F-c", "F-a", "F-b")] == sorted(page.index(x) for x in ("F-c", "F-a", "F-b"))
+    (tmp_path / "old.html").write_text("x")
+    (tmp_path / "data.csv").write_text("x")
+    assert reporting.publish({"index.html": "i", "burndown.html": page}, str(tmp_path)) == ["old.html"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["burndown.html", "data.csv", "index.html"]
+
+
+def test_images_are_measured_where_they_are_read(spark, tmp_path):
+    import numpy as np
+
+    gray = np.full((60, 40), 230, np.uint8)
+    gray[5::12, 4:36] = gray[6::12, 4:36] = 20
+    (tmp_path / "a.pgm").write_bytes(b"P5\n# made\n40 60\n255\n" + gray.tobytes())
+    (tmp_path / "b.pgm").write_bytes(b"not an image")
+    files_ = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: r for r in images.measured(files_).collect()}
+    assert got["a.pgm"].status == "ok" and got["a.pgm"].pitch == 12 and got["a.pgm"].parts == 5 and got["a.pgm"].ink == pytest.approx(10 * 32 / 2400)
+    assert got["b.pgm"].status.startswith("unreadable") and got["b.pgm"].ink is None
+
+
+def test_image_links_are_rebuilt_for_another_number(spark):
+    import base64
+
+    link = lambda key: "https://img.example/iiif/" + base64.b64encode(json.dumps({"key": key, "width": 7}, separators=(",", ":")).encode()).decode().replace("=", "%3D").replace("+", "%2B").replace("/", "%2F")
+    df = spark.createDataFrame([(link("book_0007_MAS.jp2"),), ("https://img.example/plain",)], "u string")
+    got = [r[0] for r in df.select(records.rebuilt_token(F.col("u"), F.lit(12))).collect()]
+    assert got == [link("book_0012_MAS.jp2"), None]
+
+
+def test_a_manifest_of_version_three_and_missing_sizes(spark):
+    body = json.dumps({"items": [{"label": {"none": ["1r"]}, "width": 5, "height": 6, "items": [{"items": [{"body": {"id": "https://i.example/1/full/max/0/default.jpg", "service": [{"id": "https://s.example/1"}]}}]}]}, {"label": {"none": ["1v"]}, "items": [{"items": [{"body": {"id": "https://i.example/2.jpg", "service": [{"id": "https://s.example/2"}]}}]}]}]})
+    known = spark.createDataFrame([("https://s.example/2", 70, 80)], "base string, w int, h int")
+    rows = responses.canvases(spark.createDataFrame([("u", body)], "url string, body string"), known).orderBy("ord").collect()
+    assert [tuple(r)[2:] for r in rows] == [("1r", "https://i.example/1", 5, 6), ("1v", "https://s.example/2", 70, 80)]
