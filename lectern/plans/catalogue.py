@@ -551,7 +551,7 @@ def status_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH x AS (SELECT doc_id, rint(35 * (CASE WHEN lang = 'en' THEN 1 ELSE 0.25 END) + 30 * least(1.0, log10(greatest(n_chars::DOUBLE, 100.0)) / 5) + 25 * (CASE doc_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.9 ELSE 0.5 END)
 + (CASE WHEN """.replace("rint(", "round_even(")
-    + " OR ".join(f"contains(lower(left(text, 100)), '{g}')" for g in records.GENRES)
+    + " OR ".join(f"contains(lower(text), '{g}')" for g in records.GENRES)
     + """ THEN 10 ELSE 0 END), 0)::BIGINT AS priority FROM documents) SELECT doc_id, priority, row_number() OVER (PARTITION BY priority ORDER BY doc_id) AS place FROM x"""
 )
 def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

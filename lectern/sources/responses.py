@@ -11,6 +11,8 @@ from ..functions.text import strip_tags
 
 # How long excerpts are, and how many are kept
 SNIPPET, HIGHLIGHTS, HITS = 240, 3, 15
+#: Volumes that one query may be fanned out to.
+MOST_VOLUMES = 1000
 
 
 def _exploded(df: DataFrame, schema: str, path: str, most: int | None = None) -> DataFrame:
@@ -202,7 +204,9 @@ def canvases(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def volume_fan(queries: DataFrame, volumes_: DataFrame, responses: DataFrame) -> DataFrame:
-    """Every query against every volume, volumes in order; where no response is stored the hits are unavailable. Both lists are short and fixed."""
+    """Every query against every volume, volumes in order; where no response is stored the hits are unavailable. More than MOST_VOLUMES are refused, so what is sent out is bounded."""
+    if volumes_.limit(MOST_VOLUMES + 1).count() > MOST_VOLUMES:
+        raise ValueError(f"more than {MOST_VOLUMES} volumes")
     pairs = queries.crossJoin(F.broadcast(volumes_))
     return pairs.join(responses, ["query", "volume"], "left").withColumn("status", F.when(F.col("body").isNull(), "unavailable").otherwise("ok"))
 
