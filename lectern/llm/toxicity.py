@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, letter_runs, materialize, table
 
 SAMPLE, BLOCK, K, POWER, PRIOR, THRESHOLD = 4096, 64, 15, 2.0, 0.3, 0.7
-FLOOR, TRUST, DENSE, FIRST = 0.05, 0.5, 256, 8
+FLOOR, TRUST, DENSE, FIRST = 0.05, 0.5, 512, 8
 #: Queries that are searched at once.
 QUERIES = 64
 #: Documents whose terms are counted at once, and scores of texts that a task keeps.
@@ -187,7 +187,7 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """doc_id, th and the distinct terms of the text, pressed; null without any."""
     press = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        found = [sorted(set(terms_of(t.as_py()))) for t in b.column(2)]
+        found = [set(terms_of(t.as_py())) for t in b.column(2)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press(" ".join(f).encode()) if f else None for f in found], pa.binary())], names=["doc_id", "th", "terms"])
 
 
