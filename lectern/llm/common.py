@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Hands memory that Arrow and the C library keep for later back to the system: Python workers stay, idle, beside the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(f):
+    """A batch function that leaves no more memory behind than it must."""
+
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id gives 0's remainder (the crc of an empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_rows, keyed, table
+from .common import drop_rows, keyed, table, trimmed
 
 RATE, BLOCK = 0.08, 4_000_000
 
@@ -137,6 +137,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     for block in _blocks(items):
         sent = spark.sparkContext.broadcast(block)
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, rate)
             for b in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_rows, keyed, materialize, table
+from .common import drop_rows, keyed, materialize, table, trimmed
 
 FEATURES = ("word_length", "symbols", "duplicate_lines", "repeats", "capitals", "punctuation", "digits", "variety")
 P = len(FEATURES)
@@ -96,6 +96,7 @@ def statistics(text: str | None) -> tuple:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+@trimmed
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [statistics(t.as_py()) for t in b.column(1)]

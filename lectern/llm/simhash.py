@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_rows, keyed, materialize, table
+from .common import LOWER, drop_rows, keyed, materialize, table, trimmed
 
 LIMIT, BLOCKS, EACH, WIDE = 2, 6, 4, 2048
 PIVOTS = 2 * EACH * BLOCKS
@@ -66,6 +66,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
+@trimmed
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in b.columns[-1]), np.uint64, b.num_rows).view(np.int64)
@@ -130,6 +131,7 @@ def bucket_links(fps: np.ndarray) -> np.ndarray:
     return fps[_roots(n, a, b)]
 
 
+@trimmed
 def _spread(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         fps = pdf["fp"].to_numpy().view(np.uint64)
@@ -137,6 +139,7 @@ def _spread(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"choice": np.tile(np.arange(len(_CHOICES), dtype=np.int32), len(fps)), "key": keys.ravel().view(np.int64), "fp": np.repeat(fps, len(_CHOICES)).view(np.int64)})
 
 
+@trimmed
 def _link(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         out_a, out_b = [], []
@@ -150,6 +153,7 @@ def _link(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": a, "b": b})
 
 
+@trimmed
 def _midpoints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each fingerprint of a crowded bucket with itself and the words one bit away in its choice's free blocks."""
     turns = [np.array([0, *(1 << k for b in set(range(BLOCKS)) - set(blocks) for k in range(_EDGES[b], _EDGES[b + 1]))], np.uint64) for blocks in _CHOICES]

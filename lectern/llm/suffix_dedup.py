@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import spread
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, trimmed
 
 LENGTH, LEFT, MIDDLE = 200, 17, 150
 RIGHT = LENGTH - (LEFT + MIDDLE - 1)
@@ -126,6 +126,7 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
+@trimmed
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = _texts(b.column("text"))
@@ -177,6 +178,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 RESOLVED, OPEN = 1, 2
 
 
+@trimmed
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The column text as zstd frames, in which it is shuffled; null stays null."""
     press = zstandard.ZstdCompressor(level=3).compress
@@ -196,6 +198,7 @@ def pressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_press, schema)
 
 
+@trimmed
 def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = _whole(batches)
     if t is None:
@@ -220,6 +223,7 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(cols["dk"][at]), pa.array(cols["lo"][at]), pa.array(cols["hi"][at]), pa.array(state[keep].astype(np.int32))], names=["dk", "lo", "hi", "state"])
 
 
+@trimmed
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor().decompress
     for b in batches:
@@ -249,6 +253,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "g", "dk", "p"])
 
 
+@trimmed
 def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = _whole(batches)
     if t is None:
@@ -316,6 +321,7 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(data)], strict=True))
 
 
+@trimmed
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor().decompress
     for b in batches:
@@ -340,6 +346,7 @@ def is_scan(docs: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
 
 
+@trimmed
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor().decompress
     for b in batches:
