@@ -271,6 +271,17 @@ class Mixer:
             weights = np.tile(np.array([1.0, 0.5, 0.3, 0.2, 0.2, 0.0]), (self.GATES, 1))
         self.weights = weights.astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        """Broadcasts lie on the disks of the driver and of every executor: the tables, mostly empty cells, are pressed in them."""
+        return self.__dict__ | {"tables": (self.tables.shape, _pack(self.tables))}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, data = state["tables"]
+        self.__dict__.update(state, tables=_unpack(data, int(np.prod(shape)), np.int8).reshape(shape))
+
+    def weighed(self, weights: np.ndarray) -> Mixer:
+        return Mixer(self.tree, self.plain, self.tables, weights)
+
     def bits(self, leaf: np.ndarray, rows: list[np.ndarray], place: np.ndarray) -> tuple:
         """(first bit of each token, token of each bit, sign, gate, inputs)."""
         t, k = self.tree, len(self.tree.order)
@@ -473,21 +484,22 @@ def _added(cells: DataFrame, tree: Tree, plain: np.ndarray) -> np.ndarray:
 
 
 def _fit(mixer: Mixer, rows: DataFrame, read, rounds: int = 2) -> Mixer:
-    """Newton steps over all rows; ``read`` gives (leaf, contexts, place) of a row. Sums are added up before the driver sees them."""
+    """Newton steps over all rows; ``read`` gives (leaf, contexts, place) of a row. Sums are added up before the driver sees them. The tables are sent once."""
+    sent = rows.sparkSession.sparkContext.broadcast(mixer)
     for _ in range(rounds):
-        sent = rows.sparkSession.sparkContext.broadcast(mixer)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((Mixer.GATES, INPUTS + INPUTS * (INPUTS + 1) // 2))
+        def run(batches: Iterator[pa.RecordBatch], weights=mixer.weights) -> Iterator[pa.RecordBatch]:
+            total, own = np.zeros((Mixer.GATES, INPUTS + INPUTS * (INPUTS + 1) // 2)), sent.value.weighed(weights)
             for r in _rows(batches):
                 for leaf, contexts, place in read(r):
-                    total += sent.value.sums(leaf, contexts, place)
+                    total += own.sums(leaf, contexts, place)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["cell", "value"])
 
         sums = np.zeros((Mixer.GATES, INPUTS + INPUTS * (INPUTS + 1) // 2)).ravel()
         for r in rows.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
             sums[r["cell"]] = r["value"]
-        mixer = Mixer(mixer.tree, mixer.plain, mixer.tables, mixer.step(sums.reshape(Mixer.GATES, -1)))
+        mixer = mixer.weighed(mixer.step(sums.reshape(Mixer.GATES, -1)))
+    sent.destroy()
     return mixer
 
 

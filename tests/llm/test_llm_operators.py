@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import os
+import pickle
 import random
 import re
 import zlib
@@ -340,6 +341,23 @@ def test_a_tree_codes_every_leaf_and_its_tables_meet_the_counts():
             assert (got == [[sum(row[x] for x in range(64) if (node, bit) in paths[x]) for node in range(63)] for row in counts]).all()
 
 
+def test_mixing_lm_sends_tables_pressed(spark):
+    tree = mixing_lm.Tree(np.ones(256), huffman=False)
+    tables = np.zeros((4, mixing_lm.CELLS), np.int8)
+    tables[:, ::1001] = 7
+    model = mixing_lm.Model(*[mixing_lm.Mixer(tree, tree.plain(np.ones(256)), tables)] * 2, np.zeros(mixing_lm.FORMS), np.zeros(mixing_lm.FORMS))
+    data = pickle.dumps(model)
+    assert len(data) < 1 << 20  # 16 MB and more on the disks of the driver and each executor before
+    got = pickle.loads(data)
+    assert (got.words.tables == tables).all() and (got.words.weights == model.words.weights).all()
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+        names = spark.createDataFrame([(2, b"abc abd")], "n int, a binary")
+        mixing_lm._fit(model.letters, names, mixing_lm._read_names)
+    assert len(sent) == 1  # once for all rounds
+
+
 def test_long_words_are_spelled():
     tree = mixing_lm.Tree(np.ones(256), huffman=False)
     letters = mixing_lm.Mixer(tree, tree.plain(np.ones(256)), np.zeros((4, mixing_lm.CELLS), np.int8))
