@@ -1,30 +1,35 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next. A stage begins by deleting what the earlier ones left behind."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, mixing, quality_rules, simhash, suffix_dedup
-from lectern.llm.common import materialize, table
+from lectern.llm.common import materialize, sweep, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return quality_rules.stage(spark, docs, sf_dir)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return simhash.stage(spark, docs, sf_dir)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return suffix_dedup.stage(spark, docs, sf_dir)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return decontaminate.stage(spark, docs, sf_dir)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return mixing.stage(spark, docs, sf_dir)
 
 

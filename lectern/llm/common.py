@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
+import time
 import uuid
 from functools import wraps
 
@@ -46,11 +48,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Of what is written: the path, and the JVM's weak reference to the file index that every plan over it holds.
+_written: list[tuple] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _written.append((path, spark._jvm.java.lang.ref.WeakReference(found._jdf.queryExecution().analyzed().relation().location())))
+    return found
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what ``materialize`` wrote and no plan reads any more; Spark's own cleaner does so with shuffles. Both learn of it when garbage is collected."""
+    spark.sql("SELECT 1").collect()  # Spark's listener queues hold the last query that ended
+    gc.collect()
+    time.sleep(1.2)  # Py4J tells the JVM once a second what Python has let go of
+    spark._jvm.System.gc()
+    for own in [x for x in _written if x[1].refersTo(None)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(own)
 
 
 def _give_back() -> None:

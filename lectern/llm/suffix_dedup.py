@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import spread
-from .common import materialize, shuffle_partitions, trimmed
+from .common import materialize, shuffle_partitions, sweep, trimmed
 
 LENGTH, LEFT, MIDDLE = 200, 17, 150
 RIGHT = LENGTH - (LEFT + MIDDLE - 1)
@@ -302,9 +302,11 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     runs = docs.mapInArrow(_runs, "key bigint, full bigint, dk bigint, lo int, hi int")
     first = materialize(runs.repartitionByRange(n, "key", "full", "dk", "lo").mapInArrow(_compare_runs, "dk bigint, lo int, hi int, state int"), "op4-runs")
+    sweep(spark)  # a round's shuffles go before the next one's come
     still = first.where(F.col("state") >= OPEN).groupBy("dk").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"), F.collect_list("state").alias("states"))
     windows = pressed(docs).join(still, "dk").mapInArrow(_windows, "h bigint, g int, dk bigint, p int")
     second = materialize(windows.repartitionByRange(n, "h", (F.col("g") / 2).cast("int"), "dk", "p").mapInArrow(_compare_windows, "dk bigint, p int, found boolean, edge int, h bigint, g int"), "op4-windows")
+    sweep(spark)
     across = spark.createDataFrame(_across(second), "dk bigint, lo int")
     starts = first.where(F.col("state") != OPEN).select("dk", "lo", "hi").union(second.where("found").select("dk", "p", "p")).union(across.select("dk", "lo", "lo"))
     return starts.groupBy("dk").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))

@@ -8,6 +8,7 @@ from test_llm_operators import SF, brute_components, brute_cut, brute_quality, l
 
 import corpus_pipeline
 from lectern.llm import decontaminate, mixing, quality_rules, simhash
+from lectern.llm.common import materialize, sweep
 
 
 def brute_mix(rows):
@@ -66,3 +67,32 @@ def test_pipeline_keeps_a_repeated_text(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, str(tmp_path))
     assert [(r.doc_id, r.text) for r in docs.collect()] == [(1, a)]
+
+
+def pieces(spark):
+    return set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+
+
+def test_written_pieces_stay_as_long_as_a_plan_reads_them(spark):
+    before = pieces(spark) if os.path.isdir(spark.conf.get("spark.checkpoint.dir")) else set()
+    piece = materialize(spark.range(50).selectExpr("id", "struct(id AS x, 'a' AS y) AS s"), "piece")
+    later = piece.select("s.x").repartition(3).groupBy("x").count()
+    del piece
+    sweep(spark)
+    assert later.count() == 50 and len(pieces(spark) - before) == 1
+    later = later.join(later.withColumnRenamed("count", "n"), "x").cache()
+    sweep(spark)
+    assert later.count() == 50 and len(pieces(spark) - before) == 1
+    later.unpersist()
+    del later
+    sweep(spark)
+    assert not pieces(spark) - before
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_stages_delete_what_earlier_ones_left(spark):
+    sweep(spark)
+    before = pieces(spark) if os.path.isdir(spark.conf.get("spark.checkpoint.dir")) else set()
+    out = corpus_pipeline.run(spark, SF)
+    assert {x.rsplit("-", 1)[0] for x in pieces(spark) - before} == {"pipeline-benchmark_decontamination", "op8-rates"}
+    assert out.count() > 0
