@@ -34,6 +34,8 @@ from .common import crc_mod, letter_runs, materialize, shuffle_partitions, table
 VOCABULARY, ROUNDS, LONG, SMOOTH = "piece_bpe_32k.model", 3, 32, 0.1
 #: Distinct words that a task keeps scored.
 KEPT = 400_000
+#: Training words that a round works through at once.
+MANY = 100_000
 #: Documents whose words are held at once.
 ROWS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -69,17 +71,21 @@ class Pieces:
         self.bits = np.uint64(64 - 22)
         self.slot = np.full(1 << 22, -1, np.int32)
         self.slot[(self.hashes >> self.bits).astype(np.int64)[::-1]] = np.arange(len(names), dtype=np.int32)[::-1]
+        self.there = self.slot >= 0
         self.run = int(np.bincount((self.hashes >> self.bits).astype(np.int64)).max())
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids, -1 where there is none."""
-        at = self.slot[(h >> self.bits).astype(np.int64)]
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places where there is a piece, and its ids. Few hashes meet a slot in use; only those are compared."""
+        slot = (h >> self.bits).view(np.int64)
+        some = np.flatnonzero(self.there.take(slot))
+        h, at = h[some], self.slot[slot[some]]
         out = np.full(len(h), -1, np.int32)
         for k in range(self.run):
             near = np.minimum(at + k, len(self.hashes) - 1)
-            hit = (at >= 0) & (self.hashes[near] == h)
+            hit = self.hashes[near] == h
             out[hit] = self.ids[near[hit]]
-        return out
+        met = out >= 0
+        return some[met], out[met]
 
     def plain(self, word: str) -> bool:
         return len(word) <= LONG and self.letters.issuperset(word)
@@ -97,10 +103,9 @@ class Pieces:
                 arcs = []
                 for i in range(n):
                     for j in range(i + 1, min(n, i + self.longest) + 1):
-                        ids = self.find(prefix[j] - prefix[i] * self.powers[j - i])
-                        hit = np.flatnonzero(ids >= 0)
+                        hit, ids = self.find(prefix[j] - prefix[i] * self.powers[j - i])
                         if len(hit):
-                            arcs.append((i, j, hit, ids[hit]))
+                            arcs.append((i, j, hit, ids))
                 yield rows, int(n), arcs
 
     def lattice(self, word: str) -> Iterator[list[tuple[int, list[int]]]]:
@@ -174,8 +179,8 @@ def expected_counts(words: list[str], counts: np.ndarray, logp: np.ndarray, voca
         for i, j, hit, ids in reversed(arcs):
             beta[i, hit] += beta[j, hit] * probs[ids]
         weight = some[rows] / np.maximum(alpha[n], 1e-300)
-        for i, j, hit, ids in arcs:
-            total += np.bincount(ids, alpha[i, hit] * probs[ids] * beta[j, hit] * weight[hit], len(probs))
+        used = [alpha[i, hit] * probs[ids] * beta[j, hit] * weight[hit] for i, j, hit, ids in arcs]
+        total += np.bincount(np.concatenate([ids for *_, ids in arcs]), np.concatenate(used), len(probs))
     for k in others:
         met = [(np.zeros(1), []), *_forward(words[k], known, logp[:, None])]
         alpha = np.array([float(a[0]) for a, _ in met])
@@ -205,6 +210,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
+def gathered(frames: Iterator[pd.DataFrame], most: int = MANY) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``most`` rows and more: what words cost side by side depends little on how many they are."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        held.append(pdf)
+        if sum(map(len, held)) >= most:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
 def fit(training: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order of name and the pieces' log-probabilities (pieces x languages)."""
     spark = training.sparkSession
@@ -219,7 +236,7 @@ def fit(training: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS)
 
         def run(it: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             total = np.zeros((size, len(langs)))
-            for pdf in it:
+            for pdf in gathered(it):
                 for lang, own in pdf.groupby("lang"):
                     k = langs.index(lang)
                     total[:, k] += expected_counts(own["word"].tolist(), own["n"].to_numpy(float), sent.value[:, k], vocabulary)

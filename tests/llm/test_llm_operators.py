@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,6 +342,19 @@ def test_a_tree_codes_every_leaf_and_its_tables_meet_the_counts():
             assert (got == [[sum(row[x] for x in range(64) if (node, bit) in paths[x]) for node in range(63)] for row in counts]).all()
 
 
+def test_training_words_are_worked_through_side_by_side():
+    words = [f"▁{a}{b}" for a in ("the", "straße", "қ", "x" * 40) for b in ("", "s", "ing", "ment")]
+    counts = np.arange(1.0, len(words) + 1)
+    frames = [pd.DataFrame({"word": words[k : k + 3], "n": counts[k : k + 3]}) for k in range(0, len(words), 3)]
+    got = list(language_id.gathered(iter(frames), 7))
+    assert [len(x) for x in got] == [9, 7]  # frames of Arrow's size by language cost some five times as much a word
+    assert [w for x in got for w in x["word"]] == words
+    logp = np.log(np.random.default_rng(1).dirichlet(np.ones(language_id.pieces(language_id.VOCABULARY).size)))
+    single = sum(language_id.expected_counts([w], counts[k : k + 1], logp) for k, w in enumerate(words))
+    assert np.allclose(language_id.expected_counts(words, counts, logp), single, rtol=1e-9)
+
+
+
 def test_mixing_lm_sends_tables_pressed(spark):
     tree = mixing_lm.Tree(np.ones(256), huffman=False)
     tables = np.zeros((4, mixing_lm.CELLS), np.int8)
