@@ -6,11 +6,11 @@ a cosine. A term's weight is (1 + ln tf) * idf * (``FLOOR`` + what is left of th
 apart for certain weigh little but are searched. A document's vector has length 1 over the vocabulary.
 
 Examples are a bounded sample of labelled training documents (``SAMPLE`` of each label with a term, first by hash of the
-id; a parameter). Their postings lie in blocks of ``BLOCK`` examples; for each term and block the largest weight is
-kept. The ``DENSE`` terms that most examples have are kept as columns instead and are added up for 64 queries at once. A block's bound is the best of its
-examples by these columns and the sum of the query's weights times the maxima of all other terms. A query reads the postings of the ``FIRST`` blocks by
-bound, and then of all blocks whose bound reaches the K-th best cosine: nothing else can enter, so the K nearest are
-exact. Ties go to the smaller example number.
+id; a parameter). Their postings lie in blocks of ``BLOCK`` examples; for each block of a term the largest weight is
+kept. The ``DENSE`` terms that most examples have are kept as columns instead and are added up for 64 queries at once. Terms of fewer postings than a block
+has examples have no maxima, a query adds up all their postings. A block's bound is the best of its examples by all these and the sum of the query's
+weights times the maxima of all other terms. A query reads the postings of the ``FIRST`` blocks by bound, and then of all blocks whose bound reaches the
+K-th best cosine: nothing else can enter, so the K nearest are exact. Ties go to the smaller example number.
 
 The vote is the sum of cosine**POWER over toxic neighbours against all, shrunk to the share of toxic documents by ``PRIOR``; a Platt
 curve fitted on the examples with each example left out itself makes it a probability. A text without any
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,21 @@ FLOOR, TRUST, DENSE, FIRST = 0.05, 0.5, 512, 8
 QUERIES = 64
 #: Documents whose terms are counted at once, and scores of texts that a task keeps.
 ROWS, KEPT = 512, 5_000
+#: ASCII without letters as spaces; different other signs that are replaced one by one.
+_GAPS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+SIGNS = 32
 
 
 def terms_of(text: str | None) -> list[str]:
-    return letter_runs((text or "").lower())
+    """The runs of letters of a text, lower case, as ``letter_runs`` finds them."""
+    text = (text or "").lower()
+    if not text.isascii():
+        signs = [c for c in set(text) if c > "\x7f" and not c.isalpha()]
+        if len(signs) > SIGNS or any(map(str.isalnum, signs)):
+            return letter_runs(text)
+        for c in signs:
+            text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(_GAPS).decode("utf-8", "surrogatepass").split()
 
 
 Vector = tuple[np.ndarray, np.ndarray]
@@ -57,24 +69,19 @@ class Vectors:
         self.vocabulary, self.weights = vocabulary, weights
 
     def of(self, words: list[str]) -> Vector:
-        found = [k for k in map(self.vocabulary.get, words) if k is not None]
-        if not found:
+        counts = Counter(words)
+        ks, ns = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        order = np.argsort(ks)
+        order = order[np.searchsorted(ks, 0, sorter=order) :]
+        if not len(order):
             return np.zeros(0, np.int64), np.zeros(0)
-        ks, ns = np.unique(np.array(found), return_counts=True)
+        ks, ns = ks[order], ns[order]
         x = (1 + np.log(ns)) * self.weights[ks]
         return ks, x / np.sqrt((x * x).sum())
 
 
-def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers start..end of all ranges in a row, and the range of each."""
-    size = end - start
-    last = np.cumsum(size)
-    which = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    return np.arange(len(which), dtype=np.int32) + np.repeat((start - (last - size)).astype(np.int32), size), which
-
-
 class BlockMaxIndex:
-    """Postings by term and example; a cell is a term's postings in one block, with their largest weight. Frequent terms are columns."""
+    """Postings by term and example. Frequent terms are columns; long lists have, for each block, their largest weight and the place of their first posting."""
 
     def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK, dense: int = DENSE):
         self.n, self.block = len(vectors), block
@@ -91,12 +98,18 @@ class BlockMaxIndex:
         self.columns[self.column[term[common]], example[common]] = weight[common]
         term, weight, example = term[~common], weight[~common], example[~common]
         order = np.argsort(term, kind="stable")
-        term, self.weight, example = term[order], weight[order], example[order]
-        at, self.local = example // block, (example % block).astype(np.uint8 if block <= 256 else np.int32)
-        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (at[1:] != at[:-1])))) if len(term) else np.zeros(0, np.int64)
-        self.cell_start, self.cell_block = np.concatenate((first, [len(term)])).astype(np.int32), at[first].astype(np.int32)
-        self.cell_most = np.nextafter(np.maximum.reduceat(self.weight, first).astype(np.float32), np.float32(2)) if len(term) else np.zeros(0, np.float32)
-        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+        term, self.weight, self.example = term[order], weight[order], example[order]
+        self.term_start = np.searchsorted(term, np.arange(n_terms + 1)).astype(np.int32)
+        long = np.flatnonzero(np.diff(self.term_start) >= block)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        row = self.row[term]
+        own = row >= 0
+        row, at = row[own], self.example[own] // block
+        self.most = np.zeros((len(long), self.blocks), np.float32)
+        np.maximum.at(self.most, (row, at), np.nextafter(self.weight[own].astype(np.float32), np.float32(2)))
+        sizes = np.bincount(row.astype(np.int64) * self.blocks + at, minlength=len(long) * self.blocks).reshape(len(long), self.blocks)
+        self.block_start = np.concatenate((np.zeros((len(long), 1), np.int64), sizes.cumsum(1)), 1).astype(np.int32) + self.term_start[long][:, None]
 
     def nearest(self, queries: list[Vector], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the numbers and cosines of the k nearest examples with cosine over 0."""
@@ -106,42 +119,47 @@ class BlockMaxIndex:
         return out
 
     def _search(self, queries: list[Vector], k: int, without: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        q, n = len(queries), self.blocks * self.block
-        if not n:
-            return [(np.zeros(0, np.int64), np.zeros(0))] * q
-        ks, xs = np.concatenate([v[0] for v in queries]), np.concatenate([v[1] for v in queries])
-        owner = np.repeat(np.arange(q, dtype=np.int32), [len(v[0]) for v in queries])
-        column = self.column[ks]
-        common = column >= 0
-        own = np.zeros((q, len(self.columns)))
-        own[owner[common], column[common]] = xs[common]
-        scores = own @ self.columns
-        ks, xs, owner = ks[~common], xs[~common], owner[~common]
-        cell, of = _ranges(self.term_start[ks], self.term_start[ks + 1])
-        x, at = xs[of], owner[of] * self.blocks + self.cell_block[cell]
-        bound = scores.reshape(q, self.blocks, self.block).max(2) + np.bincount(at, x * self.cell_most[cell], q * self.blocks).reshape(q, self.blocks)
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        own, rest = np.zeros((len(queries), len(self.columns))), []
+        for row, (ks, xs) in zip(own, queries, strict=True):
+            column = self.column[ks]
+            common = column >= 0
+            row[column[common]] = xs[common]
+            rest.append((ks[~common], xs[~common]))
+        return [self._finish(scores, *v, k, w) for scores, v, w in zip(own @ self.columns, rest, without or [None] * len(queries), strict=True)]
+
+    def _read(self, scores: np.ndarray, start: np.ndarray, size: np.ndarray, x: np.ndarray) -> None:
+        """Adds x times each posting of the ranges to the scores."""
+        spot = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        scores += np.bincount(self.example[spot], np.repeat(x, size) * self.weight[spot], len(scores))
+
+    def _finish(self, scores: np.ndarray, ks: np.ndarray, xs: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of a query whose terms without a column are ks; ``scores`` holds the columns' part."""
+        row = self.row[ks]
+        long = row >= 0
+        start = self.term_start[ks[~long]]
+        self._read(scores, start, self.term_start[ks[~long] + 1] - start, xs[~long])
+        row, xs, by_block = row[long], xs[long], scores.reshape(self.blocks, self.block)
+        starts = self.block_start[row]
 
         def read(blocks: np.ndarray) -> None:
-            on = np.flatnonzero(blocks.ravel()[at])
-            spot, of = _ranges(self.cell_start[cell[on]], self.cell_start[cell[on] + 1])
-            where = (at[on] * self.block)[of] + self.local[spot]
-            np.add(scores, np.bincount(where, x[on][of] * self.weight[spot], q * n).reshape(q, n), out=scores)
-            if without:
-                scores[np.arange(q), without] = 0.0
-
-        begun, first = np.zeros((q, self.blocks), bool), min(FIRST, self.blocks)
-        promising = np.argpartition(-bound, first - 1, 1)[:, :first]
-        np.put_along_axis(begun, promising, True, 1)
-        read(begun)
-        seen = np.take_along_axis(scores.reshape(q, self.blocks, self.block), promising[:, :, None], 1).reshape(q, -1)
-        least = np.maximum(np.partition(seen, seen.shape[1] - k, 1)[:, seen.shape[1] - k] if seen.shape[1] >= k else 0.0, 0.0) * np.ones(q)
-        read((bound >= least[:, None] - 1e-12) & (bound > 0) & ~begun)
-        out = []
-        for row, mark in zip(scores, least, strict=True):  # what isn't read whole is under its block's bound, and that under the mark
-            ids = np.flatnonzero(row >= max(mark - 1e-12, 1e-300))
-            ids = ids[np.lexsort((ids, -np.round(row[ids], 12)))[:k]]
-            out.append((ids, row[ids]))
-        return out
+            start = starts[:, blocks]
+            self._read(scores, start.ravel(), (starts[:, blocks + 1] - start).ravel(), np.repeat(xs, len(blocks)))
+            if without is not None:
+                scores[without] = 0.0
+
+        bound, first = by_block.max(1) + xs @ self.most[row], min(FIRST, self.blocks)
+        promising = np.argpartition(-bound, first - 1)[:first]
+        read(promising)
+        seen = by_block[promising].ravel()
+        mark = max(np.partition(seen, len(seen) - k)[len(seen) - k], 0.0) if len(seen) >= k else 0.0
+        later = (bound >= mark - 1e-12) & (bound > 0)
+        later[promising] = False
+        read(np.flatnonzero(later))
+        ids = np.flatnonzero(scores >= max(mark - 1e-12, 1e-300))  # what isn't read whole is under its block's bound, and that under the mark
+        ids = ids[np.lexsort((ids, -np.round(scores[ids], 12)))[:k]]
+        return ids, scores[ids]
 
 
 class Voter:
@@ -217,7 +235,8 @@ def weigh_terms(labelled: DataFrame, examples: DataFrame, n: int, bad: int) -> V
     share, all_, in_bad = bad / n, found["n"].to_numpy(float), found["bad"].to_numpy(float)
     toxic, clean = in_bad + share, all_ - in_bad + 1 - share
     ratio = np.abs(np.log(toxic / (bad + 1) * (n - bad + 1) / clean)) - TRUST * np.sqrt(1 / toxic + 1 / clean)
-    return Vectors({w: k for k, w in enumerate(found["term"])}, (np.log((1 + n) / (1 + all_)) + 1) * (FLOOR + np.maximum(ratio, 0)))
+    often = np.argsort(-all_, kind="stable")  # frequent terms lie side by side in memory; their numbers go by name
+    return Vectors(dict(zip(found["term"].to_numpy()[often].tolist(), often.tolist(), strict=True)), (np.log((1 + n) / (1 + all_)) + 1) * (FLOOR + np.maximum(ratio, 0)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Vectors, Voter]:

@@ -772,6 +772,53 @@ def test_block_max_search_is_exact():
         assert len(index.nearest([empty])[0][0]) == 0
 
 
+def test_search_is_exact_with_short_and_long_lists():
+    r = random.Random(4)
+
+    def vector():
+        ks = sorted({min(int(r.paretovariate(0.5)), 900) for _ in range(r.randint(1, 30))})
+        xs = [r.random() for _ in ks]
+        norm = math.sqrt(sum(x * x for x in xs))
+        return np.array(ks), np.array([x / norm for x in xs])
+
+    vectors, queries = [vector() for _ in range(700)], [vector() for _ in range(70)]
+    whole = np.zeros((len(vectors), 901))
+    for row, (ks, xs) in zip(whole, vectors, strict=True):
+        row[ks] = xs
+    for dense in (0, 5):
+        index = toxicity.BlockMaxIndex(vectors, 901, block=16, dense=dense)
+        assert 0 < len(index.most) < (index.term_start[1:] > index.term_start[:-1]).sum()
+        for without in (None, list(range(70))):
+            for i, ((ks, xs), (ids, got)) in enumerate(zip(queries, index.nearest(queries, without=without), strict=True)):
+                sims = whole[:, ks] @ xs
+                if without:
+                    sims[i] = 0
+                want = sorted((-round(s, 12), j) for j, s in enumerate(sims.tolist()) if s > 0)[:15]
+                assert ids.tolist() == [j for _, j in want] and np.allclose(got, [-s for s, _ in want])
+
+
+def test_terms_of_few_examples_do_not_open_blocks(monkeypatch):
+    monkeypatch.setattr(toxicity, "FIRST", 1)
+    own, pair = np.full(9, 1 / 3), np.array([0.6, 0.8])
+    vectors = [(np.arange(9), own)] + [(np.array([0]), np.ones(1))] * 7 + [(np.array([0, j]), pair) for _ in range(5) for j in range(1, 9)]
+    index, read, plain = toxicity.BlockMaxIndex(vectors, 9, block=8, dense=0), [], toxicity.BlockMaxIndex._read
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "_read", lambda self, scores, start, size, x: read.append(int(size.sum())) or plain(self, scores, start, size, x))
+    ids, sims = index.nearest([(np.arange(9), own)], k=1)[0]
+    assert ids.tolist() == [0] and np.allclose(sims, 1)
+    assert read == [8 * 6, 8, 0]  # lists of 6 postings, then the frequent term in the first block: their maxima, of different examples, opened all blocks
+
+
+def test_terms_are_runs_of_letters(monkeypatch):
+    plain = toxicity.letter_runs
+    every = "".join(map(chr, range(0x3000)))
+    odd = [None, "", " ", "a1b_c", "Ünï—cödé… “x” €5", "İstanbul ΑΒΓΣ", "x\u00a0y\u2003z\x85w\x1cv", "½a² Ⅷb ٣c", "ne\u0301e", "\ud800a", every, *(every[k : k + 8] + "end" for k in range(0, 0x3000, 8))]
+    for text in odd:
+        assert toxicity.terms_of(text) == plain((text or "").lower())
+    calls = []
+    monkeypatch.setattr(toxicity, "letter_runs", lambda text: calls.append(text) or plain(text))
+    assert toxicity.terms_of("Über 12 Wörter – “so”, a_b.") == ["über", "wörter", "so", "a", "b"] and not calls  # ordinary texts need no regular expression
+
+
 def test_equal_neighbours_come_in_order():
     v = (np.array([0, 1]), np.array([0.6, 0.8]))
     ids, sims = toxicity.BlockMaxIndex([v] * 100, 2, block=8, dense=1).nearest([v])[0]
