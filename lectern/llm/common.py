@@ -62,8 +62,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return found
 
 
+def _shrink(spark: SparkSession) -> None:
+    """Has executors collect all their garbage: a heap that one stage has filled stays as large beside the Python workers of the next ones until a whole collection gives it back."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def sweep(spark: SparkSession) -> None:
-    """Deletes what ``materialize`` wrote and no plan reads any more; Spark's own cleaner does so with shuffles. Both learn of it when garbage is collected."""
+    """Deletes what ``materialize`` wrote and no plan reads any more; Spark's own cleaner does so with shuffles. Both learn of it when garbage is collected, on the executors as well."""
     spark.sql("SELECT 1").collect()  # Spark's listener queues hold the last query that ended
     gc.collect()
     time.sleep(1.2)  # Py4J tells the JVM once a second what Python has let go of
@@ -72,6 +78,7 @@ def sweep(spark: SparkSession) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(own[0])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         _written.remove(own)
+    _shrink(spark)
 
 
 def _give_back() -> None:

@@ -1,7 +1,11 @@
 import hashlib
+import importlib.util
 import math
 import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from test_llm_operators import SF, brute_components, brute_cut, brute_quality, least_distance, prose
@@ -96,3 +100,35 @@ def test_stages_delete_what_earlier_ones_left(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {x.rsplit("-", 1)[0] for x in pieces(spark) - before} == {"pipeline-benchmark_decontamination", "op8-rates"}
     assert out.count() > 0
+
+
+SWEPT = """
+import os, re, sys
+from pyspark.sql import SparkSession
+from lectern.llm.common import sweep
+
+spark = SparkSession.builder.master("local-cluster[1,2,1600]").config("spark.executor.memory", "1200m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+
+def held(_):
+    jvm = re.search(r"PPid:\\s+(\\d+)", open(f"/proc/{os.getppid()}/status").read())[1]
+    yield sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open(f"/proc/{jvm}/smaps_rollup").read()))) / 1024
+
+rows = lambda: spark.sparkContext.parallelize([0], 1).mapPartitions(held).first()
+spark.range(0, 4_000_000, 1, 2).selectExpr("id % 2 AS k", "uuid() AS u").groupBy("k").agg({"u": "collect_list"}).selectExpr("size(`collect_list(u)`)").collect()
+before = rows()
+sweep(spark)
+print("held", before, rows())
+"""
+
+
+def test_executors_give_memory_back_between_stages(tmp_path):
+    (tmp_path / "home" / "work").mkdir(parents=True)  # executors write their logs there
+    for p in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    repo = str(Path(__file__).parents[2])
+    env = os.environ | {"SPARK_HOME": str(tmp_path / "home"), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYTHONPATH": repo, "PYSPARK_PYTHON": sys.executable}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    said = subprocess.run([sys.executable, "-c", SWEPT], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    before, after = map(float, next(x for x in said.stdout.splitlines() if x.startswith("held ")).split()[1:])
+    assert after < before - 200, (before, after)
