@@ -21,7 +21,7 @@ the words seen so far in the document, which follows what predicted best up to t
 Every decision's two probabilities add up to 1, and the words of a form and its escape do, so all texts together have a probability of at most
 1. The statistics are sums over all training documents and a document's score depends on them and its own text alone, not on how rows are dealt out.
 
-How it runs. A pass over the documents writes blocks: token numbers of whole documents and the block's own list of words. The lists, not the
+How it runs. A pass over the documents writes blocks: token numbers of whole documents and the block's own list of words with their forms. The lists, not the
 tokens, are shuffled by word; a shard adds up a word's counts and sends them to each block that holds it. Counts of words grow with the
 corpus; they are never sent to the driver or broadcast. The tables of contexts are of fixed size (8 of 2**22 cells, a byte each) and are broadcast.
 
@@ -55,6 +55,9 @@ SHRINK, QUANT, FIRST, LONGEST, RATE = 2.0, 16.0, 64, 8192, 0.002
 #: Tokens whose bits are held at once.
 SLICE = 1 << 15
 CONTEXTS, INPUTS = 4, 6
+_UPPER = np.triu_indices(INPUTS)
+#: Bits of a path up to which the odds of one token, e**20 a bit at most, can be multiplied.
+DEEPEST = 34
 LN10 = float(np.log(10.0))
 
 
@@ -68,7 +71,7 @@ def _unpack(data: bytes, n: int, dtype) -> np.ndarray:
 
 # Blocks: whole documents as token numbers
 
-_BLOCK = "block bigint, n_words int, n_ids int, words binary, trained binary, ids binary, doc_id array<bigint>, role array<int>, size array<int>, n_bytes array<bigint>"
+_BLOCK = "block bigint, n_words int, n_ids int, words binary, shapes binary, trained binary, ids binary, doc_id array<bigint>, role array<int>, size array<int>, n_bytes array<bigint>"
 HELD, TABLES, WEIGHTS = 0, 1, 2
 
 
@@ -91,8 +94,8 @@ class _Block:
         doc, role, size, n_bytes = (list(x) for x in zip(*self.docs, strict=True))
         learned = np.repeat(np.array(role) != HELD, size)
         trained = np.bincount(ids[learned], minlength=len(self.known)).astype(np.int32)
-        cols = [self.number, len(self.known), len(ids), b" ".join(self.known), _pack(trained), _pack(ids), doc, role, size, n_bytes]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        cols = [self.number, len(self.known), len(ids), b" ".join(self.known), _pack(forms(list(self.known)).astype(np.int16)), _pack(trained), _pack(ids), doc, role, size, n_bytes]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
 
@@ -300,14 +303,20 @@ class Mixer:
         return first, token, t.bits[at].astype(np.float32) * 2 - 1, gate, x
 
     @staticmethod
-    def mix(x: list[np.ndarray], w: np.ndarray, cell: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ln of the probability of each bit, and the bit less the probability of 1. w: inputs x cells."""
+    def mix(x: list[np.ndarray], w: np.ndarray, cell: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """The odds against each bit. w: inputs x cells."""
         z = w[INPUTS - 1].take(cell)
         for j, v in enumerate(x):
             z += w[j].take(cell) * v
         np.clip(z, -20, 20, out=z)
-        e = np.exp(-z * sign)
-        return -np.log1p(e), sign * (e / (1 + e))
+        z *= -sign
+        return np.exp(z, out=z)
+
+    def paths(self, odds: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """ln of the probability of each token from the odds against its bits: a logarithm a token, as long as no product can overflow."""
+        if self.tree.depth.max() > DEEPEST:
+            return -np.add.reduceat(np.log1p(odds.astype(float)), first)
+        return -np.log(np.multiply.reduceat(np.add(odds, 1.0, dtype=float), first))
 
     def sums(self, leaf: np.ndarray, rows: list[np.ndarray], place: np.ndarray) -> np.ndarray:
         """Sums of a Newton step for the weights of each gate: gradient and curvature."""
@@ -317,14 +326,16 @@ class Mixer:
             first, token, sign, gate, x = self.bits(leaf[own], [r[own] for r in rows], place[own])
             if not len(sign):
                 continue
-            _, miss = self.mix(x, np.ascontiguousarray(self.weights.T), gate, sign)
-            p = np.abs(miss)
-            x, at, curve = [*x, np.ones(len(sign), np.float32)], INPUTS, p * (1 - p)
-            for i in range(INPUTS):
-                out[:, i] += np.bincount(gate, miss * x[i], self.GATES)
-                for j in range(i, INPUTS):
-                    out[:, at] += np.bincount(gate, curve * x[i] * x[j], self.GATES)
-                    at += 1
+            odds = self.mix(x, np.ascontiguousarray(self.weights.T), gate, sign)
+            p = odds / (1 + odds)
+            order = np.argsort(gate.astype(np.uint8), kind="stable")
+            cuts = np.searchsorted(gate[order], np.arange(self.GATES + 1))
+            miss, curve = (sign * p)[order].astype(float), (p * (1 - p))[order].astype(float)
+            x = np.stack([*(v[order] for v in x), np.ones(len(sign), np.float32)]).astype(float)
+            for g in np.flatnonzero(np.diff(cuts)):
+                b, e = cuts[g], cuts[g + 1]
+                out[g, :INPUTS] += x[:, b:e] @ miss[b:e]
+                out[g, INPUTS:] += ((x[:, b:e] * curve[b:e]) @ x[:, b:e].T)[_UPPER]
         return out
 
     def step(self, sums: np.ndarray) -> np.ndarray:
@@ -346,7 +357,7 @@ class Mixer:
         for a in range(0, len(leaf), SLICE):
             own = slice(a, a + SLICE)
             first, _, sign, gate, x = self.bits(leaf[own], [r[own] for r in rows], place[own])
-            out[own] = np.add.reduceat(self.mix(x, w, gate, sign)[0], first)
+            out[own] = self.paths(self.mix(x, w, gate, sign), first)
         return out
 
     def online(self, leaf: np.ndarray, rows: list[np.ndarray], place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -367,12 +378,13 @@ class Mixer:
                 first, token, sign, gate, x = self.bits(leaf[at], [r[at] for r in rows], place[at])
                 held = np.concatenate([w[int(d)] if int(d) in w else base for d in own], 1)
                 cell = gate + which[token] * self.GATES
-                ln, miss = self.mix(x, held, cell, sign)
-                out[at] = np.add.reduceat(ln, first)
+                odds = self.mix(x, held, cell, sign)
+                out[at] = self.paths(odds, first)
                 more = sizes[own] > done + n
                 if more.any():
-                    pick = more[which[token]]
-                    cell, miss = cell[pick], miss[pick]
+                    pick = np.flatnonzero(more[which][token])
+                    cell, miss = cell[pick], odds[pick]
+                    miss = sign[pick] * (miss / (1 + miss))
                     total = np.bincount(cell, minlength=held.shape[1])
                     pace = RATE / np.maximum(1.0, total / 256.0)
                     for j in range(INPUTS):
@@ -438,9 +450,14 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _part(NAMES, 0, len(fold), b" ".join(fold))
 
 
+def _shapes(r: dict) -> np.ndarray:
+    """Forms of a block's words, as its row holds them."""
+    return _unpack(r["shapes"], r["n_words"], np.int16).astype(np.int64)
+
+
 def _stream(r: dict, which: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forms of the tokens of a block's documents (of one role), the numbers of their words (-1: the end), and the documents' sizes."""
-    shape = np.append(forms(_split(r["words"], r["n_words"])), END)
+    shape = np.append(_shapes(r), END)
     ids, sizes = _unpack(r["ids"], r["n_ids"], np.int32), np.array(r["size"], np.int64)
     tokens = np.full(len(ids) + len(sizes), -1, np.int64)
     spot = np.ones(len(tokens), bool)
@@ -521,9 +538,9 @@ class Model:
     def __init__(self, words: Mixer, letters: Mixer, totals: np.ndarray, once: np.ndarray):
         self.words, self.letters, self.totals, self.escape = words, letters, totals, once + 0.5
 
-    def inside(self, names: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """ln of the probability of each word among those of its form."""
-        shape = forms(names)
+    def inside(self, names: list[bytes], counts: np.ndarray, shape: np.ndarray | None = None) -> np.ndarray:
+        """ln of the probability of each word among those of its form (shape, if that is known)."""
+        shape = forms(names) if shape is None else shape
         whole = self.totals[shape] + self.escape[shape]
         out = np.log(np.maximum(counts, 1) / whole)
         new = np.flatnonzero(counts == 0)
@@ -595,10 +612,10 @@ def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, int, int, int]:
     weights = counts + 0.5
     tree = Tree(weights)
     plain = tree.plain(weights)
-    cells = blocks.select("n_words", "n_ids", "words", "ids", "role", "size").mapInArrow(_count_forms, _PART)
+    cells = blocks.select("n_words", "n_ids", "shapes", "ids", "role", "size").mapInArrow(_count_forms, _PART)
     words = Mixer(tree, plain, _added(cells, tree, plain))
     own = F.exists("role", lambda x: x == WEIGHTS)
-    words = _fit(words, blocks.where(own).select("n_words", "n_ids", "words", "ids", "role", "size"), _read_forms)
+    words = _fit(words, blocks.where(own).select("n_words", "n_ids", "shapes", "ids", "role", "size"), _read_forms)
     tree = Tree(np.ones(256), huffman=False)
     plain = tree.plain(letters + 0.5)
     spelling = Mixer(tree, plain, _added(parts.where(F.col("kind") == LETTERS), tree, plain))
@@ -625,7 +642,7 @@ def score(docs: DataFrame) -> DataFrame:
             each = np.append(np.log10(counts + 0.1), np.log10(ends + 0.1)) - floor
             base = np.bincount(doc, each[tokens], len(sizes))
             seen = np.bincount(doc, np.append(counts > 0, ends > 0)[tokens], len(sizes)).astype(np.int64)
-            inside = sent.value.inside(_split(r["words"], r["n_words"]), counts)
+            inside = sent.value.inside(_split(r["words"], r["n_words"]), counts, _shapes(r))
             made = refine(tokens, sizes, sent.value.tokens(leaf, tokens, sizes, inside))
             n_bytes = np.array(r["n_bytes"], np.int64)
             yield pa.RecordBatch.from_arrays(

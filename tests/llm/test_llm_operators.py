@@ -380,6 +380,45 @@ def test_long_words_are_spelled():
     assert np.allclose(got, [-8 * 3 * math.log(2), -8 * 300_001 * math.log(2), -8 * 11 * math.log(2)], rtol=1e-4)
 
 
+def test_blocks_hold_the_forms_of_their_words(monkeypatch):
+    """Passes over blocks take a word's form from the block; nothing works it out again."""
+    block = mixing_lm._Block(0)
+    for doc, role, text in [(1, mixing_lm.TABLES, "b abc Longer words, longer ones b"), (2, mixing_lm.HELD, None), (3, mixing_lm.WEIGHTS, "abc \u00e4 b")]:
+        block.add(doc, role, text)
+    row = next(mixing_lm._rows(iter([block.row()])))
+    words = row["words"].split(b" ")
+    want = mixing_lm.forms(words)
+    monkeypatch.setattr(mixing_lm, "form", None)
+    leaf, tokens, sizes = mixing_lm._stream(row, None)
+    assert sizes.tolist() == [8, 1, 4] and leaf.tolist() == np.append(want, mixing_lm.END)[tokens].tolist()
+    assert mixing_lm._stream(row, mixing_lm.WEIGHTS)[0].tolist() == leaf[-4:].tolist()
+    empty = mixing_lm._Block(1)
+    empty.add(1, mixing_lm.HELD, "")
+    assert mixing_lm._stream(next(mixing_lm._rows(iter([empty.row()]))), None)[0].tolist() == [mixing_lm.END]
+
+
+def test_newton_sums_and_paths_against_plain_sums():
+    r = np.random.default_rng(5)
+    tree = mixing_lm.Tree(r.integers(1, 500, mixing_lm.FORMS).astype(float))
+    mixer = mixing_lm.Mixer(tree, r.normal(size=mixing_lm.FORMS).astype(np.float32), r.integers(-90, 90, (4, mixing_lm.CELLS)).astype(np.int8))
+    leaf = r.integers(0, mixing_lm.FORMS, 300)
+    rows, place = [r.integers(0, 2048, 300) for _ in range(4)], r.integers(0, 5, 300)
+    first, token, sign, gate, x = mixer.bits(leaf, rows, place)
+    x = np.stack([*x, np.ones(len(sign))]).astype(float)
+    z = np.clip((mixer.weights.astype(float)[gate].T * x).sum(0), -20, 20)
+    miss, want = sign / (1 + np.exp(z * sign)), np.zeros((mixer.GATES, 27))
+    for k in range(len(sign)):
+        pair = abs(miss[k]) * (1 - abs(miss[k])) * np.outer(x[:, k], x[:, k])
+        want[gate[k]] += [*(miss[k] * x[:, k]), *(pair[i, j] for i in range(6) for j in range(i, 6))]
+    assert mixer.sums(leaf, rows, place) == pytest.approx(want, rel=1e-4, abs=1e-3)
+    odds = np.exp(-z * sign).astype(np.float32)
+    ln = -np.bincount(token, np.log1p(odds.astype(float)), 300)
+    assert mixer.paths(odds, first) == pytest.approx(ln, rel=1e-12)
+    deep = mixing_lm.Mixer(mixing_lm.Tree(2.0 ** np.arange(64)), mixer.plain, mixer.tables)  # 63 bits: a product of their odds has no place in a double
+    n = deep.tree.depth[[0]]
+    assert n[0] > mixing_lm.DEEPEST and deep.paths(np.full(n[0], np.exp(np.float32(20))), np.array([0])) == pytest.approx(-20 * n[0], rel=1e-6)
+
+
 def test_document_mixture_by_hand():
     got = mixing_lm.refine(np.array([0, 0, 1, -1, 0, -1]), np.array([4, 2]), np.log([0.5, 0.5, 0.25, 0.1, 0.5, 0.2]))
     want = 0.0
