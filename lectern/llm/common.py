@@ -6,7 +6,6 @@ import ctypes
 import gc
 import re
 import time
-import uuid
 from functools import wraps
 
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import spread
+from ..sources.shared import materialize, shared_dir, written  # noqa: F401
 
 #: Bytes that separate words: space and \t \n \v \f \r. ``bytes.split()`` splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -37,31 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spread(df) if name == "documents" else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where that is unset, one in the temporary folder of this machine, if all tasks run on it too; else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(f"{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/lectern-{uuid.uuid4().hex}")
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-#: Of what is written: the path, and the JVM's weak reference to the file index that every plan over it holds.
-_written: list[tuple] = []
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    _written.append((path, spark._jvm.java.lang.ref.WeakReference(found._jdf.queryExecution().analyzed().relation().location())))
-    return found
-
-
 def _shrink(spark: SparkSession) -> None:
     """Has executors collect all their garbage: a heap that one stage has filled stays as large beside the Python workers of the next ones until a whole collection gives it back."""
     cores = spark.sparkContext.defaultParallelism
@@ -74,10 +49,10 @@ def sweep(spark: SparkSession) -> None:
     gc.collect()
     time.sleep(1.2)  # Py4J tells the JVM once a second what Python has let go of
     spark._jvm.System.gc()
-    for own in [x for x in _written if x[1].refersTo(None)]:
+    for own in [x for x in written if x[1].refersTo(None)]:
         path = spark._jvm.org.apache.hadoop.fs.Path(own[0])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _written.remove(own)
+        written.remove(own)
     _shrink(spark)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,8 @@ LEAST_LETTERS, NEAR_LETTERS, MOST_POSITIONS = 4, 6, 40
 STRETCH = 2000
 #: Rows of a query's side that are handed to the driver and sent out; more are joined, or taken in blocks of items.
 MOST_SENT = 200_000
+#: Distinct tokens that are counted at once before their counts go on.
+MOST_HELD = 200_000
 
 
 def raw_tokens(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
@@ -36,15 +39,33 @@ def reduced_tokens(items: DataFrame, ident: str = "item_id") -> DataFrame:
     return raw_tokens(items, ident).select(ident, "ti", text.letters(F.col("token")).alias("letters"), text.abbreviated(F.col("token")).alias("short"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens with their counts; a token comes again where the counts are handed on before the last text."""
+    token, held = re.compile(text.TOKEN), Counter()
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["token", "n"])
+    for b in batches:
+        for raw in b.column(0):
+            held.update(token.findall(raw.as_py() or ""))
+            if len(held) >= MOST_HELD:
+                yield made()
+                held.clear()
+    yield made()
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(token, n, letters, short): the distinct tokens, each reduced once."""
-    counts = raw_tokens(docs).groupBy("token").agg(F.count("*").alias("n"))
+    counts = docs.select("text").mapInArrow(_counted, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return counts.select("token", "n", text.letters(F.col("token")).alias("letters"), text.abbreviated(F.col("token")).alias("short"))
 
 
+def letter_counts(known: DataFrame) -> DataFrame:
+    """(letters, n): the counts of a vocabulary by reduced tokens."""
+    return known.where("letters <> ''").groupBy("letters").agg(F.sum("n").alias("n"))
+
+
 def frequencies(docs: DataFrame) -> DataFrame:
     """(letters, n): exact counts of reduced tokens."""
-    return vocabulary(docs).where("letters <> ''").groupBy("letters").agg(F.sum("n").alias("n"))
+    return letter_counts(vocabulary(docs))
 
 
 def rarity(freq: DataFrame) -> DataFrame:
@@ -62,9 +83,9 @@ def usable(queries: DataFrame) -> DataFrame:
 def query_words(items: DataFrame, freq: DataFrame) -> DataFrame:
     """(item_id, pos, letters, n, t, weight): an item's words worth searching, by their place in it. Items marked as not usable have none."""
     own = reduced_tokens(usable(items)).select("item_id", F.col("ti").alias("pos"), "letters")
-    own = own.where((F.length("letters") >= LEAST_LETTERS) & ~F.col("letters").isin(*text.STOP))
+    own = small(own.where((F.length("letters") >= LEAST_LETTERS) & ~F.col("letters").isin(*text.STOP)))
     total = freq.agg(F.sum("n").alias("t"))
-    out = own.join(freq, "letters", "left").fillna(0, ["n"]).join(F.broadcast(total)).where(F.col("n") / F.col("t") <= MAX_RATE)
+    out = own.join(freq.join(own.select("letters").distinct(), "letters", "left_semi"), "letters", "left").fillna(0, ["n"]).join(F.broadcast(total)).where(F.col("n") / F.col("t") <= MAX_RATE)
     return out.withColumn("weight", F.log((F.col("t") + 1) / (F.col("n") + 1)) / F.log("t")).select("item_id", "pos", "letters", "n", "t", "weight")
 
 
@@ -78,7 +99,8 @@ def heads(query: DataFrame, freq: DataFrame) -> DataFrame:
     """(head, word): prefixes that may stand for query words (item_id, pos, letters, t): not common words themselves, and of few places."""
     every = query.select("item_id", "pos", F.col("letters").alias("word"), "t", F.explode(text.prefixes(F.col("letters"))).alias("head"))
     few = every.groupBy("head").agg(F.count("*").alias("k"), F.first("t").alias("t")).where(F.col("k") < MOST_POSITIONS)
-    few = few.join(freq.select(F.col("letters").alias("head"), "n"), "head", "left").where(F.coalesce("n", F.lit(0)) / F.col("t") < MAX_RATE)
+    freq = freq.select(F.col("letters").alias("head"), "n").join(few.select("head"), "head", "left_semi")
+    few = few.join(freq, "head", "left").where(F.coalesce("n", F.lit(0)) / F.col("t") < MAX_RATE)
     return every.select("head", "word").distinct().join(few.select("head"), "head")
 
 

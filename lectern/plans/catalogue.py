@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar, records, text
 from ..operators import images, ledger, noisy, order, reporting, retrieval, sequences
 from ..sources import files, responses
+from ..sources.shared import materialize
 
 QUERIES: dict = {}
 #: Tables whose rows take long to work through.
@@ -208,16 +209,25 @@ def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FREQ} SELECT letters, n, ln(((SELECT sum(n) FROM f) + 1) / (n + 1)) / ln((SELECT sum(n) FROM f)) AS weight FROM f")
 def rarity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return noisy.rarity(token_frequencies(spark, sf_dir)).select("letters", "n", "weight")
+    return noisy.rarity(_counts(spark, sf_dir)).select("letters", "n", "weight")
 
 
-def _query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return noisy.query_words(table(spark, sf_dir, "benchmark", "item_id", "text"), token_frequencies(spark, sf_dir))
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of reduced tokens, for queries that read them several times."""
+    return materialize(token_frequencies(spark, sf_dir), "counts")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(noisy.vocabulary(_documents(spark, sf_dir)), "vocabulary")
+
+
+def _query_words(spark: SparkSession, sf_dir: str, freq: DataFrame) -> DataFrame:
+    return noisy.query_words(table(spark, sf_dir, "benchmark", "item_id", "text"), freq)
 
 
 @query(f"WITH {QWORDS} SELECT item_id, pos, letters, n, weight FROM q")
 def searchable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _query_words(spark, sf_dir).select("item_id", F.col("pos").cast("bigint").alias("pos"), "letters", "n", "weight")
+    return _query_words(spark, sf_dir, _counts(spark, sf_dir)).select("item_id", F.col("pos").cast("bigint").alias("pos"), "letters", "n", "weight")
 
 
 def _without_one(c: str) -> str:
@@ -233,8 +243,9 @@ SELECT * FROM e UNION ALL SELECT * FROM n1 WHERE letters NOT IN (SELECT letters
 )
 def one_letter_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the corpus for words of the items, as if no token were abbreviated."""
-    reduced = noisy.vocabulary(_documents(spark, sf_dir)).select("letters").distinct().withColumn("short", F.lit(False))
-    return noisy.word_matches(noisy.small(_query_words(spark, sf_dir).select(F.col("letters").alias("word")).distinct()), reduced).select("letters", "word", "kind")
+    freq = _counts(spark, sf_dir)
+    reduced = freq.select("letters", F.lit(False).alias("short"))
+    return noisy.word_matches(noisy.small(_query_words(spark, sf_dir, freq).select(F.col("letters").alias("word")).distinct()), reduced).select("letters", "word", "kind")
 
 
 @query(
@@ -244,7 +255,8 @@ SELECT head, word FROM h WHERE head IN (SELECT head FROM use) AND coalesce((SELE
 )
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefixes that may stand for query words: not common words themselves, and of few places."""
-    return noisy.heads(noisy.small(_query_words(spark, sf_dir)), token_frequencies(spark, sf_dir))
+    freq = _counts(spark, sf_dir)
+    return noisy.heads(noisy.small(_query_words(spark, sf_dir, freq)), freq)
 
 
 #: Hits with the characters that they start and end at: a token's place is the length of all before it, separators included.
@@ -255,8 +267,8 @@ h AS (SELECT r.doc_id, r.ti, q.item_id, q.pos, q.weight AS value, (stop - length
 
 
 def _exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return noisy.token_hits(docs, noisy.exact_places(noisy.vocabulary(docs), _query_words(spark, sf_dir)))
+    known = _known(spark, sf_dir)
+    return noisy.token_hits(_documents(spark, sf_dir), noisy.exact_places(known, _query_words(spark, sf_dir, noisy.letter_counts(known))))
 
 
 @query(
@@ -278,8 +290,8 @@ def hit_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ordered_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three kinds of match, chained: the best chain of each stretch, the best 15 of each item."""
-    docs = _documents(spark, sf_dir)
-    return noisy.stretch_dedupe(noisy.chains(docs, noisy.places(noisy.vocabulary(docs), _query_words(spark, sf_dir))))
+    known = _known(spark, sf_dir)
+    return noisy.stretch_dedupe(noisy.chains(_documents(spark, sf_dir), noisy.places(known, _query_words(spark, sf_dir, noisy.letter_counts(known)))))
 
 
 @query(
@@ -297,8 +309,8 @@ def stretch_dedupe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffled_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain scores against each item's words in a shuffled order; the corpus' words are counted once for both."""
     docs, bench = _documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text")
-    known = noisy.vocabulary(docs)
-    freq = token_frequencies(spark, sf_dir)
+    known = _known(spark, sf_dir)
+    freq = noisy.letter_counts(known)
     found = [noisy.stretch_dedupe(noisy.chains(docs, noisy.places(known, noisy.query_words(q, freq)))) for q in (bench, noisy.shuffled(bench))]
     return noisy.margins(*found)
 
