@@ -25,6 +25,6 @@ def test_counts_of_tokens_that_are_handed_on_before_the_last_text(spark, monkeyp
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["searchable_words", "prefix_match"])
+@pytest.mark.parametrize("name", ["searchable_words", "prefix_match", "one_letter_match"])
 def test_counts_are_made_once(spark, name):
     assert scans(QUERIES[name](spark, SF), "documents") == 0
