@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans, text
+from ..sources.shared import materialize
 
 # Rate of words too common to search, and the weights of the kinds of match
 MAX_RATE = 5e-5
@@ -142,8 +143,11 @@ def places(known: DataFrame, query: DataFrame, verified: bool = True) -> DataFra
 def _blocks(found: DataFrame) -> Iterator[dict[str, list[tuple[int, int, float]]]]:
     """The places by token, in blocks of items of about MOST_SENT rows: what is sent out is bounded by that and one item's rows."""
     block: dict[str, list[tuple[int, int, float]]] = {}
+    rows = found.limit(MOST_SENT + 1).collect()
+    if len(rows) > MOST_SENT:
+        rows = materialize(found, "places").orderBy("item_id").toLocalIterator()
     last, n = None, 0
-    for r in found.orderBy("item_id").toLocalIterator():
+    for r in rows:
         if n >= MOST_SENT and r.item_id != last:
             yield block
             block, n = {}, 0
@@ -153,11 +157,11 @@ def _blocks(found: DataFrame) -> Iterator[dict[str, list[tuple[int, int, float]]
 
 
 def _scanned(docs: DataFrame, found: DataFrame, schema: str, rows) -> DataFrame:
-    """One pass over the texts for each block of places; ``rows`` makes rows of a document's hits {item: [(ti, pos, value, start, end)]}."""
+    """One pass over the texts for each block of places; ``rows`` makes rows of a document's hits {item: [(ti, pos, value, start, end, token)]}."""
     spark = docs.sparkSession
     out = None
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
     for block in _blocks(found):
         sent = spark.sparkContext.broadcast({k: sorted(v) for k, v in block.items()})
@@ -167,10 +171,13 @@ def _scanned(docs: DataFrame, found: DataFrame, schema: str, rows) -> DataFrame:
             for b in batches:
                 made = []
                 for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    raw = raw.as_py() or ""
+                    if known.keys().isdisjoint(token.findall(raw)):
+                        continue
                     hits: dict[int, list[tuple]] = {}
-                    for ti, m in enumerate(token.finditer(raw.as_py() or "")):
+                    for ti, m in enumerate(token.finditer(raw)):
                         for item, pos, value in known.get(m.group(), ()):
-                            hits.setdefault(item, []).append((ti, pos, value, m.start(), m.end()))
+                            hits.setdefault(item, []).append((ti, pos, value, m.start(), m.end(), m.group()))
                     for item, own in hits.items():
                         made += [(doc, item, *r) for r in rows(own)]
                 cols = list(zip(*made, strict=True)) or [()] * len(names)
@@ -182,16 +189,15 @@ def _scanned(docs: DataFrame, found: DataFrame, schema: str, rows) -> DataFrame:
 
 
 def token_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, item_id, ti, pos, value, start, end): tokens of documents at the query places they may stand for, with their characters."""
-    return _scanned(docs, found, "doc_id bigint, item_id bigint, ti int, pos int, value double, start int, end int", lambda own: own)
+    """(doc_id, item_id, ti, pos, value, start, end, token): tokens of documents at the query places they may stand for, with their characters."""
+    return _scanned(docs, found, "doc_id bigint, item_id bigint, ti int, pos int, value double, start int, end int, token string", lambda own: own)
 
 
 def windows(hits: DataFrame, window: int = 150, least: int = 3) -> DataFrame:
     """(doc_id, item_id, ti, positions): for each hit the distinct query places among hits of the last ``window`` tokens, where
     there are ``least`` or more."""
-    some = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("k")).where(F.col("k") >= least).select("doc_id", "item_id")
     w = Window.partitionBy("doc_id", "item_id").orderBy("ti").rangeBetween(-window, 0)
-    out = hits.join(some, ["doc_id", "item_id"]).withColumn("positions", F.size(F.array_distinct(F.collect_list("pos").over(w))).cast("bigint"))
+    out = hits.dropna(subset=["doc_id", "item_id"]).withColumn("positions", F.size(F.array_distinct(F.collect_list("pos").over(w))).cast("bigint"))
     return out.where(F.col("positions") >= least).select("doc_id", "item_id", "ti", "positions").distinct()
 
 

@@ -268,7 +268,7 @@ h AS (SELECT r.doc_id, r.ti, q.item_id, q.pos, q.weight AS value, (stop - length
 
 def _exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _known(spark, sf_dir)
-    return noisy.token_hits(_documents(spark, sf_dir), noisy.exact_places(known, _query_words(spark, sf_dir, noisy.letter_counts(known))))
+    return noisy.token_hits(_documents(spark, sf_dir).where("doc_id is not null"), noisy.exact_places(known, _query_words(spark, sf_dir, noisy.letter_counts(known))))
 
 
 @query(
@@ -282,9 +282,8 @@ def window_min_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {HITS} SELECT doc_id, item_id, ti, pos, start, stop, substr(text, start + 1, stop - start) AS token FROM h JOIN documents USING (doc_id)")
 def hit_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with their characters, and the token that stands there."""
-    docs = _documents(spark, sf_dir)
-    out = _exact_hits(spark, sf_dir).join(docs, "doc_id")
-    return out.select("doc_id", "item_id", *(F.col(c).cast("bigint") for c in ("ti", "pos", "start")), F.col("end").cast("bigint").alias("stop"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("token"))
+    out = _exact_hits(spark, sf_dir)
+    return out.select("doc_id", "item_id", *(F.col(c).cast("bigint") for c in ("ti", "pos", "start")), F.col("end").cast("bigint").alias("stop"), "token")
 
 
 @query()
