@@ -96,10 +96,11 @@ def small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
 
-def heads(query: DataFrame, freq: DataFrame) -> DataFrame:
-    """(head, word): prefixes that may stand for query words (item_id, pos, letters, t): not common words themselves, and of few places."""
+def heads(query: DataFrame, freq: DataFrame, most: int | None = None) -> DataFrame:
+    """(head, word): prefixes that may stand for query words (item_id, pos, letters, t): not common words themselves, and of less than ``most`` places if that is given."""
     every = query.select("item_id", "pos", F.col("letters").alias("word"), "t", F.explode(text.prefixes(F.col("letters"))).alias("head"))
-    few = every.groupBy("head").agg(F.count("*").alias("k"), F.first("t").alias("t")).where(F.col("k") < MOST_POSITIONS)
+    few = every.groupBy("head").agg(F.count("*").alias("k"), F.first("t").alias("t"))
+    few = few.where(F.col("k") < most) if most else few
     freq = freq.select(F.col("letters").alias("head"), "n").join(few.select("head"), "head", "left_semi")
     few = few.join(freq, "head", "left").where(F.coalesce("n", F.lit(0)) / F.col("t") < MAX_RATE)
     return every.select("head", "word").distinct().join(few.select("head"), "head")

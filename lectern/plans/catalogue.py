@@ -256,7 +256,7 @@ SELECT head, word FROM h WHERE head IN (SELECT head FROM use) AND coalesce((SELE
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefixes that may stand for query words: not common words themselves, and of few places."""
     freq = _counts(spark, sf_dir)
-    return noisy.heads(noisy.small(_query_words(spark, sf_dir, freq)), freq)
+    return noisy.heads(noisy.small(_query_words(spark, sf_dir, freq)), freq, noisy.MOST_POSITIONS)
 
 
 #: Hits with the characters that they start and end at: a token's place is the length of all before it, separators included.

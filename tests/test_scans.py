@@ -29,3 +29,10 @@ def test_counts_of_tokens_that_are_handed_on_before_the_last_text(spark, monkeyp
 def test_counts_are_made_once(spark, name):
     hits = name in ("hit_offsets", "window_min_hits", "stretch_dedupe_topk")  # the one pass that finds them
     assert scans(QUERIES[name](spark, SF), "documents") == int(hits)
+
+
+def test_prefixes_of_many_places_stand_for_all_of_them(spark):
+    rows = [(k, 0, f"abc{chr(97 + k // 26)}{chr(97 + k % 26)}", 0, 1_000_000, 1.0) for k in range(45)]
+    query = spark.createDataFrame(rows, "item_id bigint, pos int, letters string, n bigint, t bigint, weight double")
+    known = spark.createDataFrame([("abc̄", 1, "abc", True), ("x", 1, "x", False)], "token string, n bigint, letters string, short boolean")
+    assert {r.item_id for r in noisy.places(known, query).collect()} == set(range(45))
