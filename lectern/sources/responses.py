@@ -15,11 +15,15 @@ SNIPPET, HIGHLIGHTS, HITS = 240, 3, 15
 MOST_VOLUMES = 1000
 
 
-def _exploded(df: DataFrame, schema: str, path: str, most: int | None = None) -> DataFrame:
+def _exploded(df: DataFrame, schema: str, path: str, most: int | None = None, items=None, **own: str) -> DataFrame:
+    """(url, status, ord, hit) and the response's own fields by name: a row for each hit, made by ``items`` of the parsed response if that is given.
+
+    What a response has once is taken out before its hits become rows: these would carry the whole of it otherwise."""
     df = df.withColumn("j", F.from_json(F.ltrim(F.col("body"), F.lit("﻿")), schema))
-    items = F.col(f"j.{path}")
-    items = F.slice(items, 1, most) if most else items
-    return df.withColumn("status", F.when(F.col("j").isNull() | F.col(f"j.{path}").isNull(), "unavailable").otherwise("ok")).select("*", F.posexplode_outer(items).alias("ord", "hit"))
+    hits = items(F.col("j")) if items else F.col(f"j.{path}")
+    status = F.when(F.col("j").isNull() | F.col(f"j.{path}").isNull(), "unavailable").otherwise("ok")
+    df = df.select("url", status.alias("status"), *(F.col(f"j.{c}").alias(name) for name, c in own.items()), (F.slice(hits, 1, most) if most else hits).alias("hits"))
+    return df.select("url", "status", *own, F.posexplode_outer("hits").alias("ord", "hit"))
 
 
 def volumes(df: DataFrame) -> DataFrame:
@@ -46,25 +50,29 @@ def corpus_hits(df: DataFrame) -> DataFrame:
 
 def digitised(df: DataFrame) -> DataFrame:
     """Result lists: total, documents, up to three snippets without tags (240)."""
-    got = _exploded(df, "total int, docs array<struct<id:string,title:string,snippets:array<string>>>", "docs")
+    got = _exploded(df, "total int, docs array<struct<id:string,title:string,snippets:array<string>>>", "docs", total="total")
     cut = F.transform(F.slice(F.coalesce("hit.snippets", F.array()), 1, HIGHLIGHTS), lambda s: F.substring(strip_tags(s), 1, SNIPPET))
-    return got.select("url", "status", F.col("j.total").alias("total"), "ord", F.col("hit.id").alias("id"), F.col("hit.title").alias("title"), cut.alias("snippets"))
+    return got.select("url", "status", "total", "ord", F.col("hit.id").alias("id"), F.col("hit.title").alias("title"), cut.alias("snippets"))
 
 
 def portal(df: DataFrame) -> DataFrame:
     """Manuscript portal: objects with their digitisation and up to two highlighted passages of each field."""
     schema = "objects array<struct<id:string,label:string,descriptions:array<string>>>, digitized map<string,string>, highlighting map<string,map<string,array<string>>>"
-    got = _exploded(df, schema, "objects")
-    own = F.filter(F.transform(F.concat(F.array("hit.id"), F.coalesce("hit.descriptions", F.array())), lambda i: F.try_element_at(F.col("j.highlighting"), i)), lambda m: m.isNotNull())
-    parts = F.flatten(F.transform(own, lambda m: F.flatten(F.transform(F.map_values(m), lambda xs: F.slice(xs, 1, 2)))))
-    return got.select("url", "status", "ord", F.col("hit.id").alias("id"), F.col("hit.label").alias("label"), F.try_element_at(F.col("j.digitized"), F.col("hit.id")).alias("digitized"), F.transform(parts, lambda x: strip_tags(x)).alias("passages"))
+
+    def passages(j: Column, hit: Column) -> Column:
+        own = F.filter(F.transform(F.concat(F.array(hit["id"]), F.coalesce(hit["descriptions"], F.array())), lambda i: F.try_element_at(j["highlighting"], i)), lambda m: m.isNotNull())
+        return F.flatten(F.transform(own, lambda m: F.flatten(F.transform(F.map_values(m), lambda xs: F.slice(xs, 1, 2)))))
+
+    found = lambda j: F.transform(j["objects"], lambda hit: F.struct(hit["id"].alias("id"), hit["label"].alias("label"), F.try_element_at(j["digitized"], hit["id"]).alias("digitized"), passages(j, hit).alias("parts")))
+    got = _exploded(df, schema, "objects", items=found)
+    return got.select("url", "status", "ord", "hit.id", "hit.label", "hit.digitized", F.transform(F.coalesce("hit.parts", F.array()), lambda x: strip_tags(x)).alias("passages"))
 
 
 def keyword_in_context(df: DataFrame) -> DataFrame:
     """Corpus service: hits with their document's title."""
     schema = "hits array<struct<docPid:string,left:array<string>,match:array<string>,right:array<string>>>, docInfos map<string,struct<title:string>>"
-    got = _exploded(df, schema, "hits")
-    return got.select("url", "status", "ord", F.try_element_at(F.col("j.docInfos"), F.col("hit.docPid"))["title"].alias("title"), *(F.array_join(f"hit.{c}", " ").alias(c) for c in ("left", "match", "right")))
+    got = _exploded(df, schema, "hits", documents="docInfos")
+    return got.select("url", "status", "ord", F.try_element_at(F.col("documents"), F.col("hit.docPid"))["title"].alias("title"), *(F.array_join(f"hit.{c}", " ").alias(c) for c in ("left", "match", "right")))
 
 
 def within_volume(df: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Queries read their texts as often as they must and not more; what is counted, found or parsed once is kept."""
 
 import os
+import re
 
 import pytest
 
 from lectern.operators import noisy
 from lectern.plans.catalogue import QUERIES
+from lectern.sources import responses
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -36,3 +38,12 @@ def test_prefixes_of_many_places_stand_for_all_of_them(spark):
     query = spark.createDataFrame(rows, "item_id bigint, pos int, letters string, n bigint, t bigint, weight double")
     known = spark.createDataFrame([("abc̄", 1, "abc", True), ("x", 1, "x", False)], "token string, n bigint, letters string, short boolean")
     assert {r.item_id for r in noisy.places(known, query).collect()} == set(range(45))
+
+
+def test_hits_of_a_response_do_not_carry_the_whole_of_it(spark):
+    df = spark.createDataFrame([("a", '{"total":2,"docs":[{"id":"1"},{"id":"2"}],"objects":[],"hits":[]}')], "url string, body string")
+    for parser in (responses.digitised, responses.portal, responses.keyword_in_context):
+        plan = parser(df)._jdf.queryExecution().optimizedPlan().toString()
+        (line,) = [x for x in plan.splitlines() if "Generate posexplode" in x]
+        (child,) = re.findall(r"hits#\d+", line.split("), ")[0])
+        assert not re.search(r"[\[ ](j|body)#", line) and child, line
