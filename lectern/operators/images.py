@@ -106,20 +106,35 @@ def measured(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"path string, status string, {MEASURES}")
 
 
-def _cuts(size: Column, tile: Column, overlap: int) -> Column:
-    """array<struct(a, b)>: as few equal stretches of at most ``tile`` that overlap by ``overlap``."""
-    n = F.when(size <= tile, 1).otherwise(F.ceil((size - overlap) / (tile - overlap))).cast("int")
+def _number(size: Column, tile: Column, overlap: int) -> Column:
+    """Of how many stretches of at most ``tile`` that overlap by ``overlap`` a length is made."""
+    return F.when(size <= tile, 1).otherwise(F.ceil((size - overlap) / (tile - overlap))).cast("int")
+
+
+def _cuts(size: Column, tile: Column, overlap: int, n: Column | None = None) -> Column:
+    """array<struct(a, b)>: as few equal stretches of at most ``tile`` that overlap by ``overlap``; n: their number, if it is known."""
+    n = _number(size, tile, overlap) if n is None else n
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.when(n == 1, 0).otherwise(F.floor(k * (size - tile) / (n - 1))).cast("int").alias("a"), F.when(n == 1, size).otherwise(F.floor(k * (size - tile) / (n - 1)) + tile).cast("int").alias("b")))
 
 
 def tiles(images: DataFrame, tile: int = 1500, overlap: int = 200, most: int = 40) -> DataFrame:
-    """(image, k, left, top, right, bottom): overlapping boxes over images (image, width, height); the tile grows by halves until there are ``most`` at most."""
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.floor(tile * F.pow(F.lit(1.5), k)).cast("int"))
-    count = lambda t: F.size(_cuts(F.col("width"), t, overlap)) * F.size(_cuts(F.col("height"), t, overlap))
-    fit = images.withColumn("tile", F.try_element_at(F.filter(sizes, lambda t: count(t) <= most), F.lit(1)))
-    rows = fit.withColumn("y", F.explode(_cuts(F.col("height"), F.col("tile"), overlap))).withColumn("x", F.explode(_cuts(F.col("width"), F.col("tile"), overlap)))
-    w = Window.partitionBy("image").orderBy("y.a", "x.a")
-    return rows.select("image", (F.row_number().over(w) - 1).alias("k"), F.col("x.a").alias("left"), F.col("y.a").alias("top"), F.col("x.b").alias("right"), F.col("y.b").alias("bottom"))
+    """(image, k, left, top, right, bottom): overlapping boxes over images (image, width, height); the tile grows by halves until there are ``most`` at most.
+
+    An image's boxes are numbered in one row of it, by top and left; only sizes go through a shuffle."""
+    sizes = [int(tile * 1.5**k) for k in range(13)]
+    width, height = F.col("width"), F.col("height")
+    fit: Column | None = None
+    for t in reversed(sizes):
+        few = _number(width, F.lit(t), overlap) * _number(height, F.lit(t), overlap) <= most
+        fit = F.when(few, t) if fit is None else F.when(few, t).otherwise(fit)
+    one = images.withColumn("tile", fit).withColumns({"nx": _number(width, F.col("tile"), overlap), "ny": _number(height, F.col("tile"), overlap)})
+    own = one.where("nx * ny > 0").groupBy("image").agg(F.collect_list(F.struct("width", "height", "tile", "nx", "ny")).alias("all"))
+    cuts = F.transform("all", lambda i: F.struct(_cuts(i["height"], i["tile"], overlap, i["ny"]).alias("ys"), _cuts(i["width"], i["tile"], overlap, i["nx"]).alias("xs")))
+    box = lambda y, x: F.struct(y["a"].alias("top"), x["a"].alias("left"), y["b"].alias("bottom"), x["b"].alias("right"))
+    boxes = F.flatten(F.transform(cuts, lambda c: F.flatten(F.transform(c["ys"], lambda y: F.transform(c["xs"], lambda x: box(y, x))))))
+    # one row's boxes are made in order
+    rows = own.select("image", F.size("all").alias("n"), boxes.alias("boxes")).select("image", F.posexplode(F.when(F.col("n") > 1, F.array_sort("boxes")).otherwise(F.col("boxes"))).alias("k", "box"))
+    return rows.select("image", "k", *(f"box.{c}" for c in ("left", "top", "right", "bottom")))
 
 
 def strips(images: DataFrame, height: int, overlap: int = 0) -> DataFrame:
