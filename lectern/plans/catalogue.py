@@ -175,11 +175,8 @@ def bounded_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, item_id, page, greatest(start, page_start) AS \"from\", least(stop, page_end) AS \"to\" FROM g")
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First hits against pages of 1,000 characters: which pages a hit touches, and where."""
-    docs = documents(spark, sf_dir)
-    pairs = passage_exact(spark, sf_dir).join(docs, "doc_id").join(items(spark, sf_dir).withColumnRenamed("folded", "part"), "item_id")
-    start = F.position(F.concat(F.lit(" "), "part", F.lit(" ")), F.concat(F.lit(" "), "folded", F.lit(" "))) - 1
-    hits = pairs.select("doc_id", "item_id", start.alias("start"), (start + F.length("part")).alias("end"))
-    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("folded") / 1000))).alias("page")).select("doc_id", "page", (F.col("page") * 1000).alias("page_start"), ((F.col("page") + 1) * 1000).alias("page_end"))
+    hits = materialize(retrieval.contained(documents(spark, sf_dir), items(spark, sf_dir)).where("doc_id is not null"), "contained")
+    pages = hits.select("doc_id", "size").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 1000))).alias("page")).select("doc_id", "page", (F.col("page") * 1000).alias("page_start"), ((F.col("page") + 1) * 1000).alias("page_end"))
     out = retrieval.page_overlaps(hits, pages)
     return out.select("doc_id", "item_id", *(F.col(c).cast("bigint") for c in ("page", "from", "to")))
 

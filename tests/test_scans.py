@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lectern.operators import noisy
+from lectern.operators import images, noisy, retrieval
 from lectern.plans import stored  # noqa: F401
 from lectern.plans.catalogue import QUERIES
 from lectern.sources import responses
@@ -54,3 +54,29 @@ def test_melody_pages_of_more_rows_than_they_report(spark, tmp_path):
     spark.range(1200).selectExpr("id + 1 AS s_suppkey", "concat('S', id) AS s_name", "int(id % 1150 = 0) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {(r.url, r.reported, r.returned, r.truncated) for r in QUERIES["stored_melodies"](spark, str(tmp_path)).collect()}
     assert got == {("0", 1000, 1198, True), ("1", 1000, 2, True)}
+
+
+@needs_tables
+@pytest.mark.parametrize(("name", "most"), [("passage_exact", 1), ("anchor_hit_counts", 1), ("page_ranges", 0), ("doc_frequency_weights", 2), ("ordered_passages", 1)])
+def test_passages_are_looked_for_once(spark, name, most):
+    """Weights count the documents besides."""
+    assert scans(QUERIES[name](spark, SF), "documents") == most
+
+
+def test_items_are_found_in_blocks_and_in_rows_that_repeat_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a b a"), (1, "a b"), (None, "b a b"), (3, None), (4, "ab ba")], "doc_id bigint, folded string")
+    items = spark.createDataFrame([(7, "a"), (8, "b a"), (9, "b a"), (10, ""), (11, "c")], "item_id bigint, folded string")
+    want = [(1, 7, 1, 0), (1, 7, 3, 0), (1, 8, 1, 2), (1, 9, 1, 2), (None, 7, 1, 2), (None, 8, 1, 0), (None, 9, 1, 0)]
+    for size in (1, 1000):
+        monkeypatch.setattr(retrieval, "BLOCK", size)
+        got = [(r.doc_id, r.item_id, r.n, r.start) for r in retrieval.contained(docs, items).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert retrieval.containing(docs, items.limit(0)).collect() == []
+
+
+def test_boxes_are_numbered_without_a_shuffle_of_boxes(spark):
+    sizes = spark.createDataFrame([("a", 2000, 1000), ("b", 100, 1600), ("b", 1600, 100), ("c", None, 5)], "image string, width int, height int")
+    got = images.tiles(sizes)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == [("a", 0, 0, 0, 1500, 1000), ("a", 1, 500, 0, 2000, 1000), ("b", 0, 0, 0, 1500, 100), ("b", 1, 0, 0, 100, 1500), ("b", 2, 100, 0, 1600, 100), ("b", 3, 0, 100, 100, 1600)]
